@@ -1,2 +1,49 @@
-QUERIES = {}
-SQL = {}
+"""The library tables bound to the operators of this subpackage, and their SQL counterparts where SQL can tell."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm import neardup
+from marginalia.runtime import cut, table
+
+#: TESTDATA's own likeness for problem 2: three words (20 at least) or three characters, 0.7.
+CHUNK_LIKENESS = neardup.Likeness(threshold=0.7, words=3, least=20)
+PATH_LIKENESS = neardup.Likeness(threshold=0.7, words=0, chars=3)
+
+
+def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("id", F.col("document").alias("text"))
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "manuals").select("id", F.translate(F.lower("relative_path"), "\\", "/").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks and of manuals whose texts or paths are alike: table_name, id_a, id_b."""
+    chunks = neardup.similar_records(_chunk_texts(spark, d), CHUNK_LIKENESS, cut)
+    manuals = neardup.similar_records(_paths(spark, d).distinct(), PATH_LIKENESS, cut)
+    return chunks.select(F.lit("chunks").alias("table_name"), "id_a", "id_b").unionByName(manuals.select(F.lit("manuals").alias("table_name"), "id_a", "id_b"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk that takes part, with its group of near-duplicates and its numbers of links and copies."""
+    return neardup.groups(_chunk_texts(spark, d), CHUNK_LIKENESS, cut)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
+_CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
+
+SQL = {
+    "p2_found": rf"""
+WITH words AS (SELECT DISTINCT id, regexp_extract_all(regexp_replace(lower(document), '({_CJK})', ' \1 ', 'g'), '{_CJK}|[\p{{L}}\p{{N}}]+') AS w FROM chunks WHERE document IS NOT NULL),
+sets AS (
+  SELECT 'chunks' AS t, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) >= 20
+  UNION ALL
+  SELECT DISTINCT 'manuals', id, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) FROM (SELECT id, replace(lower(relative_path), '\', '/') AS p FROM manuals) WHERE length(p) >= 3),
+one AS (SELECT t, id, len(s) AS n, unnest(s) AS x FROM sets)
+SELECT a.t AS table_name, a.id AS id_a, b.id AS id_b FROM one a JOIN one b ON a.t = b.t AND a.x = b.x AND a.id < b.id
+GROUP BY a.t, a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))""",
+}
