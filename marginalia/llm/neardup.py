@@ -39,55 +39,49 @@ class Likeness:
     hot: int = 500  #: classes in a bucket beyond which the prefix filter takes over
     spelled_out: int = 32  #: members up to which a class of copies is spelled out in pairs of records
 
-    def sets(self) -> Callable[[str], np.ndarray]:
+    def sets(self) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+        """Texts to the distinct shingle hashes of each, in order, and the position of the text each belongs to."""
         if self.words:
             cache = S.WordHashes()
-            return lambda text: S.word_shingles(text, self.words, self.least, cache)
-        return lambda text: S.char_shingles(text, self.chars)
+            return lambda texts: S.word_shingles(texts, self.words, self.least, cache)
+        return lambda texts: S.char_shingles(texts, self.chars)
 
 
-def _longs(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.ascontiguousarray(flat).view(np.int64).reshape(-1)))
 
 
-def sketches(records: DataFrame, how: Likeness) -> DataFrame:
-    """``records`` (id, text) to id, cls (key of the shingle set) and the band keys of the set."""
+def _sketching(how: Likeness, banded: bool):
+    """Batches (id, text) to cls and either id and band keys, or the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = how.sets()
         for batch in batches:
-            ids, keys, banded = [], [], []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = sets(text.as_py())
-                if len(s):
-                    ids.append(id_)
-                    keys.append(S.set_key(s))
-                    banded.append(S.bands(S.signature(s, how.bands * how.rows), how.rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64)), _longs(banded)], ["id", "cls", "bands"]
-            )
+            texts = batch.column(1).to_pylist()
+            for lo, hi in S.passes(texts):
+                flat, owner = sets(texts[lo:hi])
+                if not len(flat):
+                    continue
+                starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
+                keys = pa.array(S.set_keys(flat, starts).view(np.int64))
+                if banded:
+                    b = S.bands(S.signatures(flat, starts, how.bands * how.rows), how.rows)
+                    ids = batch.column(0).take(pa.array(owner[starts] + lo))
+                    yield pa.RecordBatch.from_arrays([ids, keys, _lists(b, np.arange(len(b) + 1) * how.bands)], ["id", "cls", "bands"])
+                else:
+                    yield pa.RecordBatch.from_arrays([keys, _lists(flat, np.append(starts, len(flat)))], ["cls", "shingles"])
+
+    return run
+
 
-    return records.select("id", "text").dropna().mapInArrow(run, "id string, cls bigint, bands array<bigint>")
+def sketches(records: DataFrame, how: Likeness) -> DataFrame:
+    """``records`` (id, text) to id, cls (key of the shingle set) and the band keys of the set."""
+    return records.select(F.col("id").cast("string"), "text").dropna().mapInArrow(_sketching(how, True), "id string, cls bigint, bands array<bigint>")
 
 
 def shingle_sets(records: DataFrame, how: Likeness) -> DataFrame:
     """``records`` (id, text) to cls and the sorted shingle hashes of the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = how.sets()
-        for batch in batches:
-            keys, found = [], []
-            for text in batch.column(1):
-                s = sets(text.as_py())
-                if len(s):
-                    keys.append(S.set_key(s))
-                    found.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), _longs(found)], ["cls", "shingles"])
-
-    return records.select("id", "text").dropna().mapInArrow(run, "cls bigint, shingles array<bigint>")
+    return records.select(F.col("id").cast("string"), "text").dropna().mapInArrow(_sketching(how, False), "cls bigint, shingles array<bigint>")
 
 
 class _Pairs:
