@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import nearest, neardup, pieces
+from marginalia.llm import leaks, nearest, neardup, pieces
 from marginalia.runtime import cut, table
 
 #: TESTDATA's own likeness for problem 2: three words (20 at least) or three characters, 0.7.
@@ -69,7 +69,25 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(_chunk_texts(spark, d), 2000, 200).drop("piece_text").withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces)}
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share 40 successive characters with an evaluation item: doc_id, item_id."""
+    return leaks.leaks(_documents(spark, d), _items(spark, d)).filter("exact_chars >= 40").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items they hold, substitutions tolerated, with the lengths of both kinds of overlap."""
+    return leaks.leaks(_documents(spark, d), _items(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p7_found, p7_leaks)}
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
 #: White space for DuckDB classes.
@@ -96,4 +114,10 @@ WITH r AS (SELECT 'chunks' AS t, id, document AS x, 2000 AS m FROM chunks UNION
 s AS (SELECT DISTINCT t, id, m, regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS x FROM r)
 SELECT t AS table_name, id AS record_id, CASE WHEN list_max(list_transform(string_split_regex(x, '[{_WS}。！？]'), lambda y: length(y))) > m THEN 'hard' ELSE 'soft' END AS cut_kind
 FROM s WHERE length(x) > m""",
+    "p7_found": r"""
+WITH d AS (SELECT doc_id, regexp_replace(lower(nfkc(text)), '[^\p{L}\p{N}]+', '', 'g') AS x FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_replace(lower(nfkc(text)), '[^\p{L}\p{N}]+', '', 'g') AS x FROM eval_items),
+w AS (SELECT DISTINCT item_id, substr(x, p, 40) AS w FROM (SELECT item_id, x, unnest(range(1, length(x) - 38)) AS p FROM i)),
+c AS (SELECT DISTINCT doc_id, substr(x, p, 40) AS w FROM (SELECT doc_id, x, unnest(range(1, length(x) - 38)) AS p FROM d))
+SELECT DISTINCT doc_id, item_id FROM c JOIN w USING (w)""",
 }
