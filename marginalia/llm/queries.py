@@ -114,10 +114,4 @@ WITH r AS (SELECT 'chunks' AS t, id, document AS x, 2000 AS m FROM chunks UNION
 s AS (SELECT DISTINCT t, id, m, regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS x FROM r)
 SELECT t AS table_name, id AS record_id, CASE WHEN list_max(list_transform(string_split_regex(x, '[{_WS}。！？]'), lambda y: length(y))) > m THEN 'hard' ELSE 'soft' END AS cut_kind
 FROM s WHERE length(x) > m""",
-    "p7_found": r"""
-WITH d AS (SELECT doc_id, regexp_replace(lower(nfkc(text)), '[^\p{L}\p{N}]+', '', 'g') AS x FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, regexp_replace(lower(nfkc(text)), '[^\p{L}\p{N}]+', '', 'g') AS x FROM eval_items),
-w AS (SELECT DISTINCT item_id, substr(x, p, 40) AS w FROM (SELECT item_id, x, unnest(range(1, length(x) - 38)) AS p FROM i)),
-c AS (SELECT DISTINCT doc_id, substr(x, p, 40) AS w FROM (SELECT doc_id, x, unnest(range(1, length(x) - 38)) AS p FROM d))
-SELECT DISTINCT doc_id, item_id FROM c JOIN w USING (w)""",
 }
