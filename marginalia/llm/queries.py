@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import leaks, nearest, neardup, pieces
+from marginalia.llm import leaks, nearest, neardup, pieces, sentences
 from marginalia.runtime import cut, table
 
 #: TESTDATA's own likeness for problem 2: three words (20 at least) or three characters, 0.7.
@@ -87,7 +87,12 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(_documents(spark, d), _items(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p7_found, p7_leaks)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of all documents: doc_id, end_pos."""
+    return sentences.sentences(_documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p7_found, p7_leaks, p8_found)}
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
 #: White space for DuckDB classes.
