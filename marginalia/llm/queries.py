@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import leaks, nearest, neardup, pieces, sentences
+from marginalia.llm import leaks, nearest, neardup, packing, pieces, sentences
 from marginalia.runtime import cut, table
 
 #: TESTDATA's own likeness for problem 2: three words (20 at least) or three characters, 0.7.
@@ -77,6 +77,11 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text")
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or part of one over the capacity, with its container of at most 4,096 tokens."""
+    return packing.pack(_documents(spark, d), cut).withColumnRenamed("id", "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share 40 successive characters with an evaluation item: doc_id, item_id."""
     return leaks.leaks(_documents(spark, d), _items(spark, d)).filter("exact_chars >= 40").select("doc_id", "item_id")
@@ -92,7 +97,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p7_found, p7_leaks, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found)}
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
 #: White space for DuckDB classes.
