@@ -3,8 +3,8 @@
 Method: lexical retrieval packing.  Texts are tokenised once; their token ids are also the terms of a BM25 inverted index,
 which is sharded: every shard of some ``shard_tokens`` tokens indexes its own items, with document frequencies and lengths
 of the whole corpus (at most 65,536 numbers, as the vocabulary is bounded).  In a shard the longest unused item is the seed of a
-container; the index returns its unused neighbours, best first, and every one that fits is put in.  What room is left goes
-to the longest unused items that fit, so little stays empty.  Containers that a shard leaves under ``full`` are taken apart
+container; the index returns its best unused neighbours, and every one that fits is put in, the longest first, as short
+items are what fills gaps later.  What room is left goes to the longest unused items that fit, so little stays empty.  Containers that a shard leaves under ``full`` are taken apart
 again and packed in a next round over fewer shards, until one shard is left.
 
 An item over the capacity is cut into parts of exactly the capacity, which fill containers of their own, and a rest.
@@ -34,6 +34,7 @@ class Packing:
     vocabulary: str = "byte_bpe_50k.tiktoken"
     shard_tokens: int = 600_000
     query_terms: int = 48  #: the seed's terms of most weight that make its query
+    neighbours: int = 32  #: best neighbours of a seed, of which the longest that fit are put in first
     full: float = 0.97
     k1: float = 1.2
     b: float = 0.75
@@ -140,7 +141,8 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean: floa
                 score[post_doc[bounds[t] : bounds[t + 1]]] += post_weight[bounds[t] : bounds[t + 1]]
             score[used | (sizes > room)] = 0
             near = np.flatnonzero(score > 0)
-            for i in near[np.argsort(-score[near], kind="stable")]:
+            near = near[np.argsort(-score[near], kind="stable")[: how.neighbours]]
+            for i in near[np.argsort(-sizes[near], kind="stable")]:
                 size = int(sizes[i])
                 if size <= room:
                     take(bisect_right(alive, (size, int(i))) - 1)
