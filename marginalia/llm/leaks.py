@@ -1,10 +1,11 @@
 """Evaluation texts that leak into training text.
 
-Method: spaced-seed hashing.  Texts and items are reduced to their letters and numbers.  A mask is laid over a window of
-characters and hashes only the positions it doesn't ignore, so a window survives substitutions at ignored positions.
-Items are hashed at every position, texts at every ``step``-th: every common run of ``run`` characters holds a window
-that starts at such a position, as ``step = run - span + 1``.  Hashes are joined, and around every hit the overlap is
-verified: exactly for common runs, and with a tolerance for substitutions for near ones.
+Method: spaced-seed hashing.  Texts and items are reduced to their letters and numbers.  A mask compares two blocks of
+characters and ignores those between them.  Items are hashed at every position, texts at every ``step``-th, where a block
+is one step long: an overlap then holds whole blocks of the text, substitutions spoil one each, and so many stay whole that
+two of them are at most ``len(masks)`` blocks apart.  ``Seeds`` derives block and masks from the lengths and the share, so
+every overlap, exact or near, is hit; none is left to chance.  Hashes are joined, and every diagonal with a hit is
+verified over its whole length: exactly for common runs, and with a tolerance for substitutions for near ones.
 
 The items' hashes are counted.  Up to ``broadcast_windows`` of them they are broadcast and the join takes place inside
 the scan, so that no hash of the corpus is ever shuffled; beyond that both sides are joined by a shuffle on the hash,
@@ -21,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +36,42 @@ _REST = re.compile(r"[\W_]+")
 
 @dataclass(frozen=True)
 class Seeds:
-    """Masks and lengths.  A mask is a string of 1 (compared) and 0 (ignored)."""
+    """Lengths and share, and the masks that follow from them.  A mask is a string of 1 (compared) and 0 (ignored)."""
 
-    masks: tuple[str, ...] = ("1111011101101111011101111", "1101110111101011111011011")
     run: int = 40  #: characters of an exact overlap
     similar: float = 0.9  #: share of equal characters in a substitution-tolerant overlap
     near_run: int = 60  #: characters of a substitution-tolerant overlap
     broadcast_windows: int = 2_000_000
 
-    @property
-    def span(self) -> int:
-        return max(map(len, self.masks))
+    def _gap(self, block: int) -> int:
+        """Blocks from one whole block to the next in the worst overlap; 0 if one may hold less than two whole blocks.
 
-    @property
+        Overlaps of twice ``near_run`` and more hold a shorter one: a half of theirs has the share, too.
+        """
+        gap = 1
+        for length, wrong in [(self.run, 0)] + [(n, int((1 - self.similar) * n + 1e-9)) for n in range(self.near_run, 2 * self.near_run)]:
+            blocks = (length - block + 1) // block
+            if blocks - wrong < 2:
+                return 0
+            gap = max(gap, (blocks - 1) // (blocks - wrong - 1))
+        return gap
+
+    @cached_property
     def step(self) -> int:
-        return self.run - self.span + 1
+        """Characters of a block: as many as always leave two whole."""
+        for block in range(self.run, 0, -1):
+            if self._gap(block):
+                return block
+        raise ValueError("no two blocks stay whole in an overlap of these lengths and this share")
+
+    @cached_property
+    def masks(self) -> tuple[str, ...]:
+        return tuple("1" * self.step + "0" * (self.step * (d - 1)) + "1" * self.step for d in range(1, self._gap(self.step) + 1))
+
+    @property
+    def span(self) -> int:
+        """Characters of the shortest mask."""
+        return 2 * self.step
 
 
 def letters(text: str) -> str:
@@ -60,18 +83,27 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def hashes(codes: np.ndarray, at: np.ndarray, how: Seeds) -> np.ndarray:
-    """Hashes of all masks (rows) at the positions ``at`` (columns)."""
-    out = np.empty((len(how.masks), len(at)), np.uint64)
+def hashes(codes: np.ndarray, at: np.ndarray, ends: np.ndarray, how: Seeds) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all masks at the positions ``at``, whose texts end at ``ends``, and for each the number of its position in ``at``.
+
+    A mask that would leave its text gives none.  A block must end within ``codes``.
+    """
     wide = codes.astype(np.uint64)
+
+    def block(start: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(start), np.uint64)
+        for i in range(how.step):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + wide[start + i]
+            h ^= h >> np.uint64(29)
+        return h
+
+    first, out, where = block(at), [], []
     for m, mask in enumerate(how.masks):
-        h = np.full(len(at), m + 1, np.uint64)
-        for i, bit in enumerate(mask):
-            if bit == "1":
-                h = h * np.uint64(0x9E3779B97F4A7C15) + wide[at + i]
-                h ^= h >> np.uint64(29)
-        out[m] = mix64(h)
-    return out
+        fits = np.flatnonzero(at + len(mask) <= ends)
+        second = block(at[fits] + len(mask) - how.step)
+        out.append(mix64((first[fits] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(m + 1)) ^ mix64(second)))
+        where.append(fits)
+    return np.concatenate(out), np.concatenate(where)
 
 
 def _windows(rows: DataFrame, how: Seeds, step: int) -> DataFrame:
@@ -83,51 +115,39 @@ def _windows(rows: DataFrame, how: Seeds, step: int) -> DataFrame:
                 codes = _codes(letters(text.as_py()))
                 at = np.arange(0, len(codes) - how.span + 1, step)
                 if len(at):
-                    h = hashes(codes, at, how).ravel().view(np.int64)
-                    pos = np.tile(at, len(how.masks))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), id_)), pa.array(pos.astype(np.int32)), pa.array(h)], ["id", "pos", "hash"])
+                    h, where = hashes(codes, at, np.full(len(at), len(codes)), how)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), id_)), pa.array(at[where].astype(np.int32)), pa.array(h.view(np.int64))], ["id", "pos", "hash"])
 
     return rows.select("id", "text").dropna().mapInArrow(run, "id bigint, pos int, hash bigint")
 
 
-def _exact_length(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    """Length of the longest run of equal characters on the diagonal through (i, j), near the window there."""
-    d = j - i
-    lo, hi = max(0, -d), min(len(a), len(b) - d)
-    same = a[lo:hi] == b[lo + d : hi + d]
-    gaps = np.flatnonzero(~same)
-    edges = np.concatenate([[-1], gaps, [len(same)]])
-    return int(np.diff(edges).max() - 1) if len(same) else 0
-
-
-def _near_length(a: np.ndarray, b: np.ndarray, i: int, j: int, share: float) -> int:
-    """Length of the longest stretch of the diagonal through (i, j) that holds it and in which ``share`` of the characters agree."""
-    d = j - i
-    lo, hi = max(0, -d), min(len(a), len(b) - d)
-    gain = np.where(a[lo:hi] == b[lo + d : hi + d], 1 - share, -share)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    k = i - lo
-    left = np.flatnonzero(total[: k + 1] <= np.minimum.accumulate(total[: k + 1]) + 1e-9)
-    best = 0
-    highs = np.flatnonzero(total[k:] >= np.maximum.accumulate(total[k:][::-1])[::-1] - 1e-9) + k
-    for s in left:
-        good = highs[total[highs] - total[s] >= -1e-9]
-        if len(good):
-            best = max(best, int(good[-1] - s))
-    return best
+def _exact_length(same: np.ndarray) -> int:
+    """Length of the longest run of equal characters on a diagonal."""
+    edges = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
+    return int(np.diff(edges).max() - 1)
+
+
+def _near_length(same: np.ndarray, share: float) -> int:
+    """Length of the longest stretch of a diagonal in which ``share`` of the characters agree."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - share, -share))])
+    # From every start to the last end that isn't below it: the greatest total from an end on never rises.
+    rest = np.maximum.accumulate(total[::-1])[::-1]
+    ends = np.searchsorted(-rest, -total + 1e-9, "right") - 1
+    return int((ends - np.arange(len(total))).max())
 
 
 def overlaps(text: np.ndarray, at: np.ndarray, hit_items: np.ndarray, hit_pos: np.ndarray, items: dict[int, np.ndarray], how: Seeds) -> list[tuple[int, int, int]]:
-    """Verified hits of one text as (item, longest exact run, longest near run); every diagonal is verified once."""
+    """Verified hits of one text as (item, longest exact run, longest near run); every diagonal is verified once, as a whole."""
     found: dict[int, list[int]] = {}
-    seen: set[tuple[int, int]] = set()
-    for i, item, j in zip(at.tolist(), hit_items.tolist(), hit_pos.tolist()):
-        if (item, j - i) in seen:
+    for item, d in set(zip(hit_items.tolist(), (hit_pos - at).tolist())):
+        other = items[item]
+        lo, hi = max(0, -d), min(len(text), len(other) - d)
+        if hi - lo < min(how.run, how.near_run):
             continue
-        seen.add((item, j - i))
+        same = text[lo:hi] == other[lo + d : hi + d]
         best = found.setdefault(item, [0, 0])
-        best[0] = max(best[0], _exact_length(text, items[item], i, j))
-        best[1] = max(best[1], _near_length(text, items[item], i, j, how.similar))
+        best[0] = max(best[0], _exact_length(same))
+        best[1] = max(best[1], _near_length(same, how.similar))
     return [(item, e, n) for item, (e, n) in found.items() if e >= how.run or n >= how.near_run]
 
 
@@ -137,6 +157,9 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("exact_chars
 def _scan(shared, how: Seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owner, place, items = shared.value
+        # The first 24 bits of all keys: most hashes need no search.
+        known = np.zeros(1 << 24, bool)
+        known[(keys >> np.uint64(40)).astype(np.int64)] = True
         for batch in batches:
             ids, texts = [], []
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -153,12 +176,13 @@ def _scan(shared, how: Seeds):
             counts = (sizes - how.span) // how.step + 1
             doc = np.repeat(np.arange(len(texts)), counts)
             at = base[doc] + how.step * (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts))
-            h = hashes(codes, at, how)
+            h, where = hashes(codes, at, (base + sizes)[doc], how)
             rows = []
+            hit = np.flatnonzero(known[(h >> np.uint64(40)).astype(np.int64)])
+            h, where = h[hit], where[hit]
             lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            mask, where = np.nonzero(hi > lo)
-            n = (hi - lo)[mask, where]
-            pick = np.repeat(lo[mask, where], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            n = hi - lo
+            pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             where = np.repeat(where, n)
             order = np.argsort(doc[where], kind="stable")
             where, pick = where[order], pick[order]

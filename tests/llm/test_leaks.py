@@ -58,3 +58,62 @@ def test_substitutions_are_tolerated(spark):
 
 def test_letters():
     assert L.letters("Ａ-b ①②_ﬁ\n") == "ab12fi"
+
+
+def near_brute(docs, items, how):
+    """The longest stretch with the share on any diagonal, by trying all of them."""
+    out = {}
+    for d, x in docs:
+        for i, y in items:
+            best = 0
+            for k in range(-len(x) + 1, len(y)):
+                lo, hi = max(0, -k), min(len(x), len(y) - k)
+                sums = [0]
+                for p in range(lo, hi):
+                    sums.append(sums[-1] + (x[p] == y[p + k]))
+                if sums[-1] < how.similar * how.near_run - 1e-9:
+                    continue
+                for n in range(hi - lo, max(best, how.near_run - 1), -1):
+                    if any(sums[s + n] - sums[s] >= how.similar * n - 1e-9 for s in range(hi - lo - n + 1)):
+                        best = n
+                        break
+            if best:
+                out[d, i] = best
+    return out
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_near_overlaps_equal_brute_force(spark, bound):
+    """Overlaps of 60 to 100 characters with up to a tenth substituted, anywhere: none may be missed."""
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, word(rnd.randint(60, 130))) for i in range(6)]
+    docs = []
+    for d in range(60):
+        t = list(items[d % 6][1])
+        n = min(rnd.choice([60, 60, 70, 80, 100]), len(t))
+        a = rnd.randint(0, len(t) - n)
+        part = t[a : a + n]
+        for k in rnd.sample(range(n), n // 10) if d % 2 else range(4, 10 * (n // 10), 10):
+            part[k] = "z"
+        docs.append((d, word(rnd.randint(0, 60)) + "".join(part) + word(rnd.randint(0, 60))))
+    # A short common run on the same diagonal, before the overlap proper.
+    y = items[0][1]
+    docs.append((99, y[:30] + "z" * 8 + y[38:]))
+    how = L.Seeds(broadcast_windows=bound)
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
+    i = spark.createDataFrame([(*r, "x", 1) for r in items], SCHEMA)
+    got = {(r.doc_id, r.item_id): r.near_chars for r in L.leaks(d, i, how).filter("near_chars >= 60").collect()}
+    assert got == near_brute(docs, items, how) and len(got) >= 60
+
+
+def test_masks_hit_every_overlap():
+    """Every placing of whole blocks that the worst overlap allows has two within reach of a mask."""
+    how = L.Seeds()
+    assert how.step == 6 and [len(m) for m in how.masks] == [12, 18, 24, 30]
+    rnd = random.Random(2)
+    for _ in range(3000):
+        n, shift = rnd.randint(60, 119), rnd.randrange(how.step)
+        wrong = set(rnd.sample(range(n), n // 10))
+        whole = [s for s in range(shift, n - how.step + 1, how.step) if not wrong & set(range(s, s + how.step))]
+        assert any(b - a <= how.step * len(how.masks) for a, b in zip(whole, whole[1:]))
