@@ -12,33 +12,38 @@ from pyspark.sql import functions as F
 TOLERANCE = 10.0
 
 
-def parents_from_levels(marks: DataFrame, max_level: int = 32, strict: bool = False) -> DataFrame:
+def _levels(marks: DataFrame) -> list[int]:
+    """The levels that occur, ascending."""
+    return [r[0] for r in marks.select("level").filter("level is not null").distinct().orderBy("level").collect()]
+
+
+def parents_from_levels(marks: DataFrame, strict: bool = False) -> DataFrame:
     """id and parent: the nearest earlier bookmark of a smaller level.
 
-    ``strict`` takes it only if its level is exactly one less.  One running maximum per level: no self-join.  Levels over
-    ``max_level`` are read as ``max_level``.
+    ``strict`` takes it only if its level is exactly one less.  One running maximum per level that occurs: no self-join.
     """
-    level = F.least(F.greatest("level", F.lit(0)), F.lit(max_level))
     before = Window.partitionBy("manual_id").orderBy("ordering", "id").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = [F.max(F.when(level == n, F.struct("ordering", "id"))).over(before) for n in range(max_level)]
-    seen = marks.select("id", "manual_id", level.alias("lv"), F.array(*lasts).alias("lasts"))
-    lower = F.slice("lasts", 1, F.greatest(F.col("lv"), F.lit(0)))
-    best = F.array_max(F.transform(lower, lambda x, n: F.when(x.isNotNull(), F.struct(x["ordering"].alias("o"), x["id"].alias("id"), n.alias("lv")))))
+    lasts = [F.max(F.when(F.col("level") == n, F.struct("ordering", "id", F.lit(n).alias("lv")))).over(before) for n in _levels(marks)]
+    none = F.lit(None).cast("struct<ordering:int,id:string,lv:int>")
+    seen = marks.select("id", F.col("level").alias("lv"), F.array(*(lasts or [none])).alias("lasts"))
+    best = F.array_max(F.filter("lasts", lambda x: x["lv"] < F.col("lv")))
     found = seen.select("id", best.alias("b"), "lv")
     parent = F.col("b.id") if not strict else F.when(F.col("b.lv") == F.col("lv") - 1, F.col("b.id"))
     return found.select("id", parent.alias("parent"))
 
 
-def subtree_bounds(marks: DataFrame, max_level: int = 32) -> DataFrame:
+def subtree_bounds(marks: DataFrame) -> DataFrame:
     """id, manual_id, lo and hi: the subtree of a bookmark is lo <= ordering < hi (hi null: to the end).
 
     hi is the first later ordering of the same or a smaller level.
     """
-    level = F.least(F.greatest("level", F.lit(0)), F.lit(max_level))
     later = Window.partitionBy("manual_id").orderBy(F.desc("ordering"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     # Descending by ordering the nearest later mark of a level is the last one seen: its ordering is the minimum.
-    nexts = F.array(*[F.min(F.when(level == n, F.col("ordering"))).over(later) for n in range(max_level + 1)])
-    return marks.select("id", "manual_id", F.col("ordering").alias("lo"), F.array_min(F.slice(nexts, 1, level + 1)).alias("hi"))
+    nexts = [F.struct(F.lit(n).alias("lv"), F.min(F.when(F.col("level") == n, F.col("ordering"))).over(later).alias("o")) for n in _levels(marks)]
+    none = F.lit(None).cast("struct<lv:int,o:int>")
+    seen = marks.select("id", "manual_id", "level", F.col("ordering").alias("lo"), F.array(*(nexts or [none])).alias("nexts"))
+    reach = F.transform(F.filter("nexts", lambda x: x["lv"] <= F.col("level")), lambda x: x["o"])
+    return seen.select("id", "manual_id", "lo", F.array_min(reach).alias("hi"))
 
 
 # Section numbers before a title, and what is trimmed from its ends.

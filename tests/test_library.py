@@ -101,3 +101,19 @@ def test_chunk_items(spark):
         ("b1", "text", 24, "1 Start\n\nalpha\n\nfloating"), ("b1", "figure", 24, "Fig\n\nLabels: Pump, Valve"), ("b1", "figure", 16, "Figure on page 1"), ("b1", "table", 8, "Cap\n\n|a|"),
         ("b2", "text", 2000, "P" * 30), ("b2", "text", 700, "P" * 30),
     ]
+
+
+def test_outline_of_any_depth(spark):
+    """Levels over 32 and under 0 are levels like any other."""
+    levels = list(range(-2, 41)) + [36, 40, 33]
+    rows = [(f"b{n:02d}", "m", n, x) for n, x in enumerate(levels)]
+    marks = spark.createDataFrame(rows, "id string, manual_id string, ordering int, level int")
+    want, bounds = {}, {}
+    for n, x in enumerate(levels):
+        want[f"b{n:02d}"] = next((f"b{k:02d}" for k in range(n - 1, -1, -1) if levels[k] < x), None)
+        bounds[f"b{n:02d}"] = next((k for k in range(n + 1, len(levels)) if levels[k] <= x), None)
+    assert {r.id: r.parent for r in O.parents_from_levels(marks).collect()} == want
+    strict = {i: p if p and levels[int(p[1:])] == levels[int(i[1:])] - 1 else None for i, p in want.items()}
+    assert {r.id: r.parent for r in O.parents_from_levels(marks, strict=True).collect()} == strict
+    assert {r.id: r.hi for r in O.subtree_bounds(marks).collect()} == bounds
+    assert O.parents_from_levels(marks.filter("false")).count() == 0 and O.subtree_bounds(marks.filter("false")).count() == 0
