@@ -10,7 +10,7 @@ from marginalia.operators import chunking as C
 from marginalia.operators import library as L
 from marginalia.operators import outline as O
 from marginalia.plans import sqltext as T
-from marginalia.plans.search import chunk_rows
+from marginalia.plans.search import chunk_rows, section_pairs
 from marginalia.runtime import cut, table
 
 c = F.col
@@ -455,8 +455,11 @@ def merge_overlap(s, d):
 
 @query()
 def section_markdown(s, d):
-    """Text of every bookmark's own chunks, in order, overlaps merged, figures as blocks."""
-    r = chunk_rows(s, d).filter("bookmark_id is not null").withColumn("seq", F.regexp_extract("id", "_([0-9]+)$", 1).cast("int")).withColumn("fig", c("kind") == "figure")
+    """Text of the chunks of every bookmark and of those below it, in order, overlaps merged, figures as blocks."""
+    chunks = chunk_rows(s, d).filter("bookmark_id is not null").withColumnRenamed("bookmark_id", "sub")
+    # Chunks of a bookmark without a row are still its own.
+    inside = section_pairs(s, d).unionByName(chunks.select(c("sub").alias("bookmark_id"), "sub")).distinct()
+    r = chunks.join(inside, "sub").withColumn("seq", F.regexp_extract("id", "_([0-9]+)$", 1).cast("int")).withColumn("fig", c("kind") == "figure")
     flagged = O.runs(r, ["fig"], ["bookmark_id"], ["seq"])
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "document"))), lambda x: x["document"])
     label = F.when(F.max("figure_id").isNotNull(), F.concat(F.lit("[Figure: "), F.max("figure_id"), F.lit(" (page "), F.coalesce(F.max("page").cast("string"), F.lit("None")), F.lit(")]"))).otherwise(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.identifiers import id_key
-from marginalia.operators import fusion, lexical, vectors
+from marginalia.operators import fusion, lexical, outline, vectors
 from marginalia.plans import sqltext as T
 from marginalia.runtime import table
 
@@ -157,11 +157,20 @@ def hits_with_figure(spark, d):
     return hits.join(figs, "figure_id", "left").select("id", "figure_page", "caption", (F.col("figure_id").isNotNull() & F.col("figure_page").isNull()).alias("figure_missing"))
 
 
+def section_pairs(spark, d) -> DataFrame:
+    """Every bookmark (bookmark_id) with itself and those below it (sub), as keys."""
+    b = table(spark, d, "bookmarks").dropDuplicates(["id"])
+    below = outline.subtree_bounds(b).join(b.select("manual_id", F.col("id").alias("other"), "ordering"), "manual_id")
+    inside = below.filter((F.col("id") == F.col("other")) | (F.col("ordering") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("ordering") < F.col("hi"))))
+    return inside.select(id_key(F.col("id")).alias("bookmark_id"), id_key(F.col("other")).alias("sub"))
+
+
 def lexical_in_section(spark, d):
-    """BM25 hits inside the chunks of the bookmarks that the dense hits name."""
+    """BM25 hits inside the sections, with all below them, of the bookmarks that the dense hits name."""
     c = chunk_rows(spark, d).select("id", "bookmark_id")
     section = c.join(dense_topk(spark, d).select("id"), "id", "left_semi").select("bookmark_id").filter("bookmark_id is not null").distinct()
-    allowed = c.join(section, "bookmark_id", "left_semi").select(F.col("id").alias("chunk_id"))
+    named = section_pairs(spark, d).join(section, "bookmark_id", "left_semi").select(F.col("sub").alias("bookmark_id"))
+    allowed = c.join(section.unionByName(named), "bookmark_id", "left_semi").select(F.col("id").alias("chunk_id"))
     scored = lexical.bm25(build_postings(spark, d), corpus_stats(spark, d), TERMS, ratio=RATIO)
     return scored.join(allowed, "chunk_id", "left_semi")
 

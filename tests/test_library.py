@@ -117,3 +117,20 @@ def test_outline_of_any_depth(spark):
     assert {r.id: r.parent for r in O.parents_from_levels(marks, strict=True).collect()} == strict
     assert {r.id: r.hi for r in O.subtree_bounds(marks).collect()} == bounds
     assert O.parents_from_levels(marks.filter("false")).count() == 0 and O.subtree_bounds(marks.filter("false")).count() == 0
+
+
+def test_sections_hold_what_is_below_them(spark, tmp_path):
+    """A nested outline, with chunks only below the root and in its grandchild."""
+    from marginalia.plans import library, search
+
+    uid = lambda n: f"00000000-0000-0000-0000-{n:012d}"
+    m, d = uid(900), str(tmp_path)
+    marks = [(uid(1), m, 0, 0), (uid(2), m, 1, 1), (uid(3), m, 2, 2), (uid(4), m, 3, 0)]
+    spark.createDataFrame(marks, "id string, manual_id string, ordering int, level int").write.parquet(f"{d}/bookmarks.parquet")
+    chunks = [(f"{m}_{n}", t, [1.0, float(n)], (uid(b), "text", 1, None, float(n))) for n, (t, b) in enumerate([("rotor one", 2), ("rotor two", 3), ("rotor three", 4)])]
+    meta = "struct<bookmark_id:string,type:string,page:int,figure_id:string,chunk_index:double>"
+    spark.createDataFrame(chunks, f"id string, document string, embedding array<float>, metadata {meta}").write.parquet(f"{d}/chunks.parquet")
+    got = {r.bookmark_id[-1]: r.markdown for r in library.section_markdown(spark, d).collect()}
+    assert got == {"1": "rotor one\n\nrotor two", "2": "rotor one\n\nrotor two", "3": "rotor two", "4": "rotor three"}
+    pairs = {(r.bookmark_id[-1], r.sub[-1]) for r in search.section_pairs(spark, d).collect()}
+    assert pairs == {("1", "1"), ("1", "2"), ("1", "3"), ("2", "2"), ("2", "3"), ("3", "3"), ("4", "4")}
