@@ -61,10 +61,10 @@ def gate(stats: DataFrame, corpus: DataFrame, terms: Sequence[str], ratio: float
     return wanted.crossJoin(F.broadcast(corpus)).filter(F.col("df") <= F.greatest(F.lit(MIN_DF), F.floor(F.col("n_docs") * ratio))).select("term", "df")
 
 
-def bm25(posts: DataFrame, corpus: DataFrame, terms: Sequence[str], manuals: Sequence[str] | None = None, ratio: float = MAX_DF_RATIO) -> DataFrame:
+def bm25(posts: DataFrame, corpus: DataFrame, terms: Sequence[str], manuals: Sequence[str] | DataFrame | None = None, ratio: float = MAX_DF_RATIO) -> DataFrame:
     """chunk_id and score of every chunk with a gated term.  Statistics are the whole corpus's, also under a manual filter.
 
-    Terms that differ only in case are counted as often as they stand in the query.
+    ``manuals`` is a short list of ids, or rows of any number with manual_id.  Terms that differ only in case are counted as often as they stand in the query.
     """
     times = {t.lower(): sum(x.lower() == t.lower() for x in terms) for t in terms}
     hits = posts.filter(F.col("term").isin(list(times)))
@@ -76,7 +76,9 @@ def bm25(posts: DataFrame, corpus: DataFrame, terms: Sequence[str], manuals: Seq
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     # At most one row per query term: the gate's result is bounded by the query, not by the data.
     scored = hits.join(F.broadcast(rare), "term").crossJoin(F.broadcast(corpus))
-    if manuals is not None:
+    if isinstance(manuals, DataFrame):
+        scored = scored.join(manuals.select("manual_id"), "manual_id", "left_semi")
+    elif manuals is not None:
         scored = scored.filter(F.col("manual_id").isin(list(manuals)) if manuals else F.lit(False))
     return scored.groupBy("chunk_id").agg(F.round(F.sum(weight * part), 6).alias("score"))
 

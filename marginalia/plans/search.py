@@ -77,10 +77,9 @@ def bm25_search(spark, d):
     return lexical.top(lexical.bm25(build_postings(spark, d), corpus_stats(spark, d), TERMS, ratio=RATIO), fusion.CANDIDATES)
 
 
-def _scope(spark, d) -> list[str]:
-    """Manual ids under one product folder's first release, smallest ids first (a bounded list)."""
-    rows = table(spark, d, "manuals").filter(F.col("relative_path").rlike("^Tarvel")).select(F.lower("id").alias("id")).distinct().orderBy("id").limit(5).collect()
-    return [r["id"] for r in rows]
+def _scope(spark, d) -> DataFrame:
+    """Ids (manual_id) of all manuals under the product folders of one pattern."""
+    return table(spark, d, "manuals").filter(F.col("relative_path").rlike("^Tarvel")).select(F.lower("id").alias("manual_id")).distinct()
 
 
 def bm25_scoped(spark, d):
@@ -109,11 +108,11 @@ def dense_topk(spark, d):
 
 
 def dense_topk_filtered(spark, d):
-    return vectors.dense_top(chunk_rows(spark, d), query_vector(spark, d), fusion.CANDIDATES, vectors.chunk_filter(manual_ids=_scope(spark, d)))
+    return vectors.dense_top(chunk_rows(spark, d).join(_scope(spark, d), "manual_id", "left_semi"), query_vector(spark, d), fusion.CANDIDATES)
 
 
 def chunk_filter(spark, d):
-    rows = chunk_rows(spark, d).filter(vectors.chunk_filter(manual_ids=_scope(spark, d)))
+    rows = chunk_rows(spark, d).join(_scope(spark, d), "manual_id", "left_semi")
     return rows.select("id", "manual_id", "kind")
 
 

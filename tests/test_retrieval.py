@@ -73,3 +73,20 @@ def test_vectors(spark):
     assert [r.id for r in vectors.dense_top(v, [1.0, 0.0], 5, vectors.chunk_filter(manual_ids=["n"])).collect()] == ["b"]
     assert v.filter(vectors.chunk_filter(manual_ids=[])).count() == 0 and v.filter(vectors.chunk_filter()).count() == 6
     assert v.filter("id = 'z'").select(vectors.l2_normalize(F.col("embedding"))).first()[0] == [0.0, 0.0]
+
+
+def test_scope_holds_all_manuals(spark, tmp_path):
+    """A pattern's scope is all its manuals, however many."""
+    from marginalia.plans import search
+
+    d, uid = str(tmp_path), lambda n: f"00000000-0000-0000-0000-{n:012d}"
+    manuals = [(uid(n), f"{'Tarvel' if n < 9 else 'Other'} OS/{n}.pdf") for n in range(12)]
+    spark.createDataFrame(manuals, "id string, relative_path string").write.parquet(f"{d}/manuals.parquet")
+    meta = "struct<bookmark_id:string,type:string,page:int,figure_id:string,chunk_index:double>"
+    chunks = [(f"{uid(n)}_0", "rotor purges", [1.0, float(n)], (None, "text", 1, None, 0.0)) for n in range(12)]
+    spark.createDataFrame(chunks, f"id string, document string, embedding array<float>, metadata {meta}").write.parquet(f"{d}/chunks.parquet")
+    spark.createDataFrame([("v0", [1.0, 0.0])], "vec_id string, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    want = {f"{uid(n)}_0" for n in range(9)}
+    assert {r.id for r in search.chunk_filter(spark, d).collect()} == want
+    assert {r.id for r in search.dense_topk_filtered(spark, d).collect()} == want
+    assert {r.chunk_id for r in search.bm25_scoped(spark, d).collect()} == want
