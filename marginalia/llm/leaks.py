@@ -7,13 +7,13 @@ two of them are at most ``len(masks)`` blocks apart.  ``Seeds`` derives block an
 every overlap, exact or near, is hit; none is left to chance.  Hashes are joined, and every diagonal with a hit is
 verified over its whole length: exactly for common runs, and with a tolerance for substitutions for near ones.
 
-The items' hashes are counted.  Up to ``broadcast_windows`` of them they are broadcast and the join takes place inside
-the scan, so that no hash of the corpus is ever shuffled; beyond that both sides are joined by a shuffle on the hash,
-after a semi-join with the distinct hashes of the items has been put on the corpus side by the same shuffle.
+The items' windows are counted.  Up to ``broadcast_windows`` of them the items that have any are broadcast, which bounds
+their letters as well, and the join takes place inside the scan: no hash of the corpus is ever shuffled.  Beyond that
+both sides are joined by a shuffle on the hash, and only hits are joined with their texts.
 
 Defined results: null or blank texts and items match nothing; items shorter than ``run`` letters match nothing exactly;
-copies of a document are documents of their own; repeated rows count once; empty tables give empty results; other columns
-are ignored.
+copies of a document are documents of their own; repeated rows count once; an item id with several texts holds each of
+them; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,6 +121,30 @@ def _windows(rows: DataFrame, how: Seeds, step: int) -> DataFrame:
     return rows.select("id", "text").dropna().mapInArrow(run, "id bigint, pos int, hash bigint")
 
 
+def _spoken(how: Seeds):
+    """Rows (id, text) to id and letters of those that are long enough for a mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spoken = [letters(t) for t in batch.column(1).to_pylist()]
+            keep = [i for i, s in enumerate(spoken) if len(s) >= how.span]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([spoken[i] for i in keep], pa.string())], ["id", "letters"])
+
+    return run
+
+
+def _index(texts: list[np.ndarray], how: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ``texts``, sorted by hash: hashes, numbers of the texts, positions."""
+    parts = []
+    for n, codes in enumerate(texts):
+        at = np.arange(len(codes) - how.span + 1)
+        h, where = hashes(codes, at, np.full(len(at), len(codes)), how)
+        parts.append((h, np.full(len(h), n), at[where]))
+    keys, owner, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], owner[order], place[order]
+
+
 def _exact_length(same: np.ndarray) -> int:
     """Length of the longest run of equal characters on a diagonal."""
     edges = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
@@ -156,7 +180,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("exact_chars
 
 def _scan(shared, how: Seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owner, place, items = shared.value
+        keys, owner, place, items, names = shared.value
         # The first 24 bits of all keys: most hashes need no search.
         known = np.zeros(1 << 24, bool)
         known[(keys >> np.uint64(40)).astype(np.int64)] = True
@@ -191,7 +215,7 @@ def _scan(shared, how: Seeds):
                 if len(part):
                     d = int(doc[part[0]])
                     own = codes[base[d] : base[d] + sizes[d]]
-                    rows += [(ids[d], *r) for r in overlaps(own, at[part] - base[d], owner[sel], place[sel], items, how)]
+                    rows += [(ids[d], names[r[0]], *r[1:]) for r in overlaps(own, at[part] - base[d], owner[sel], place[sel], items, how)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
 
@@ -222,14 +246,17 @@ def leaks(documents: DataFrame, items: DataFrame, how: Seeds = Seeds()) -> DataF
     docs = documents.select(F.col("id").cast("bigint"), "text").dropna()
     tests = items.select(F.col("id").cast("bigint"), "text").dropna().distinct()
     schema = "doc_id bigint, item_id bigint, exact_chars int, near_chars int"
+    spoken = tests.mapInArrow(_spoken(how), "id bigint, letters string").distinct()
+    count = spoken.agg(F.sum((F.length("letters") - how.span + 1) * len(how.masks))).first()[0] or 0
+    if count <= how.broadcast_windows:
+        # Every item here has a window for each letter but the last ones of the shortest mask: the count bounds the letters.
+        rows = spoken.collect()
+        texts = [_codes(r["letters"]) for r in rows]
+        keys, owner, place = _index(texts, how)
+        shared = spark.sparkContext.broadcast((keys, owner, place, dict(enumerate(texts)), [r["id"] for r in rows]))
+        found = docs.mapInArrow(_scan(shared, how), schema)
+        return found.groupBy("doc_id", "item_id").agg(F.max("exact_chars").alias("exact_chars"), F.max("near_chars").alias("near_chars"))
     hashed = _windows(tests, how, 1)
-    if hashed.limit(how.broadcast_windows + 1).count() <= how.broadcast_windows:
-        got = hashed.toPandas()
-        keys = got["hash"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        texts = {int(r["id"]): _codes(letters(r["text"])) for r in tests.collect()}
-        shared = spark.sparkContext.broadcast((keys[order], got["id"].to_numpy(np.int64)[order], got["pos"].to_numpy(np.int64)[order], texts))
-        return docs.mapInArrow(_scan(shared, how), schema).groupBy("doc_id", "item_id").agg(F.max("exact_chars").alias("exact_chars"), F.max("near_chars").alias("near_chars"))
     test_hits = hashed.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash")
     hits = _windows(docs, how, how.step).join(test_hits, "hash")
     # One hit per diagonal is enough to verify it.

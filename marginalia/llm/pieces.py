@@ -4,18 +4,23 @@ Method: recursive bisection.  A text over the limit is cut at the strongest boun
 exceed the limit minus the overlap are cut again; then every piece but the first is given the end of the one before.
 
 Boundaries, from strong to weak: blank line, line break, sentence end (。！？ or . ! ? before white space), clause mark,
-white space, and the place before 。！？.  Only a run without any boundary is cut hard.  A run longer than the limit minus
-the overlap but not than the limit stays whole; its overlap is then what room the limit leaves.
+white space, and the place before 。！？.  Only a run without any boundary is cut hard.
+
+Every joint repeats exactly the stated number of characters, with two exceptions: a piece that is shorter is repeated as
+a whole, and a run longer than the limit minus the overlap but not than the limit stays whole beside what room that
+leaves.  White space between pieces counts towards the limit and is shortened where it alone would exceed it.
 
 Defined results: null texts give nothing; white space at both ends never counts; texts within the limit are one piece;
 empty texts are one empty piece; repeated rows of an id count once per distinct text; other columns are ignored.
-Positions are in code points of the text without the white space at its ends.
+Positions are in code points of the text without the white space at its ends.  Crumbs of under an eighth of the room join a
+neighbour they fit beside.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,8 @@ _BEFORE_MARK = re.compile("(?=[。！？])")
 _SOFT = re.compile(f"[{_WS}。！？]")
 #: A boundary this much weaker loses against one this share of the length farther from the midpoint.
 _REACH = 0.5
+#: Own texts under this part of the room are crumbs.
+_CRUMB = 8
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +68,20 @@ def _trimmed(text: str, lo: int, hi: int) -> tuple[int, int]:
     return lo, hi
 
 
-def bisect(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, bool]]:
-    """Pieces of a trimmed text as (start with overlap, start, end, whether its start is a hard cut), in order."""
+@dataclass(frozen=True)
+class Piece:
+    """One piece: its own text stands from ``own`` to ``end``; before it, ``overlap`` characters repeat the end of the piece before."""
+
+    own: int
+    end: int
+    overlap: int
+    hard: bool  #: whether its own text begins at a hard cut
+    text: str
+
+
+def _spans(text: str, limit: int, room: int) -> list[tuple[int, int, bool]]:
+    """Own texts of the pieces as (start, end, whether the start is a hard cut), in order, by recursive bisection."""
     at, strength = boundaries(text)
-    room = limit - overlap
     spans: list[tuple[int, int, bool]] = []
     todo = [(0, len(text), False)]
     while todo:
@@ -89,20 +106,47 @@ def bisect(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, boo
         score = strength[i:j] / 6 - far / _REACH * np.where(far > 0.25, 2.0, 1.0)
         k = int(at[i + int(np.argmax(score))])
         todo += [(k, hi, False), (lo, k, hard)]
-    out: list[tuple[int, int, int, bool]] = []
+    return spans
+
+
+def _joined(spans: list[tuple[int, int, bool]], room: int) -> list[tuple[int, int, bool]]:
+    """Bisection leaves crumbs beside long runs; a crumb joins the neighbour with which it fits best, if there is one."""
+    out: list[tuple[int, int, bool]] = []
     for n, (lo, hi, hard) in enumerate(spans):
-        back = min(overlap, limit - (hi - lo)) if n else 0
-        start = max(out[-1][1], min(lo, spans[n - 1][1] if back else lo) - back) if n and back > 0 else lo
-        while hi - start > limit:  # white space between the pieces counts too
-            start += 1
-        out.append((start, lo, hi, hard))
+        if out and not hard and hi - out[-1][0] <= room and min(hi - lo, out[-1][1] - out[-1][0]) < room // _CRUMB:
+            # The one behind may fit more tightly, if this one is the crumb.
+            behind = spans[n + 1][1] - lo if n + 1 < len(spans) and not spans[n + 1][2] else room + 1
+            if hi - lo >= room // _CRUMB or behind > room or hi - out[-1][0] >= behind:
+                out[-1] = (out[-1][0], hi, out[-1][2])
+                continue
+        out.append((lo, hi, hard))
+    return out
+
+
+def bisect(text: str, limit: int, overlap: int) -> list[Piece]:
+    """Pieces of a trimmed text, in order.
+
+    A piece repeats the last ``overlap`` characters of the one before, or all of that if it is shorter, or what room the
+    limit leaves beside a run that stays whole.
+    """
+    room = max(1, limit - overlap - 1)  # one place is for a blank between overlap and own text
+    out: list[Piece] = []
+    for lo, hi, hard in _joined(_spans(text, limit, room), room):
+        if not out:
+            out.append(Piece(lo, hi, 0, hard, text[lo:hi]))
+            continue
+        gap, free = lo - out[-1].end, limit - (hi - lo)
+        back = max(0, min(overlap, len(out[-1].text), free - min(1, gap)))
+        # Long blanks between the pieces are shortened from the left.
+        before = out[-1].text[len(out[-1].text) - back :]
+        out.append(Piece(lo, hi, back, hard, before + text[lo - min(gap, free - back) : hi]))
     return out
 
 
 def split(records: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """``records`` (id, text) to pieces: id, piece (from 0), start, own_start, end, hard_cut, n_pieces, piece_text.
+    """``records`` (id, text) to pieces: id, piece (from 0), own_start, end, overlap, hard_cut, n_pieces, piece_text.
 
-    start includes the overlap; own_start is where what the piece before doesn't hold begins.
+    own_start to end is what the pieces before don't hold; overlap counts the characters repeated before it.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
@@ -110,9 +154,9 @@ def split(records: DataFrame, limit: int, overlap: int) -> DataFrame:
     short = texts.filter(F.length("text") <= limit).select(
         "id",
         F.lit(0).alias("piece"),
-        F.lit(0).alias("start"),
         F.lit(0).alias("own_start"),
         F.length("text").alias("end"),
+        F.lit(0).alias("overlap"),
         F.lit(False).alias("hard_cut"),
         F.lit(1).alias("n_pieces"),
         F.col("text").alias("piece_text"),
@@ -125,20 +169,20 @@ def oversized(records: DataFrame, limit: int, overlap: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in _NAMES]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pieces = bisect(text, limit, overlap)
-                for n, (start, own, end, hard) in enumerate(pieces):
-                    for col, v in zip(cols, (id_, n, start, own, end, hard, len(pieces), text[start:end])):
+                for n, p in enumerate(pieces):
+                    for col, v in zip(cols, (id_, n, p.own, p.end, p.overlap, p.hard, len(pieces), p.text)):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)
 
     texts = records.select(F.col("id").cast("string"), ws_trim(F.col("text")).alias("text")).filter(F.length("text") > limit)
-    return texts.mapInArrow(run, "id string, piece int, start int, own_start int, end int, hard_cut boolean, n_pieces int, piece_text string")
+    return texts.mapInArrow(run, "id string, piece int, own_start int, end int, overlap int, hard_cut boolean, n_pieces int, piece_text string")
 
 
-_NAMES = ["id", "piece", "start", "own_start", "end", "hard_cut", "n_pieces", "piece_text"]
-_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
+_NAMES = ["id", "piece", "own_start", "end", "overlap", "hard_cut", "n_pieces", "piece_text"]
+_TYPES = [pa.string(), *[pa.int32()] * 4, pa.bool_(), pa.int32(), pa.string()]
 
 
 def cut_kinds(records: DataFrame, limit: int, overlap: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.identifiers import WS_CLASS
 from marginalia.llm import leaks, nearest, neardup, packing, pieces, sentences
 from marginalia.runtime import cut, table
 
@@ -64,9 +65,37 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Tables whose texts are split: their texts, limit and overlap.
+_SPLIT = {"chunks": (_chunk_texts, 2000, 200), "bookmarks": (lambda s, d: table(s, d, "bookmarks").select("id", F.col("title").alias("text")), 120, 12)}
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """All chunk documents as pieces of at most 2,000 characters that overlap by up to 200."""
-    return pieces.split(_chunk_texts(spark, d), 2000, 200).drop("piece_text").withColumnRenamed("id", "chunk_id")
+    """All chunk documents as pieces of at most 2,000 characters and all bookmark titles of at most 120, overlaps of 200 and 12."""
+    a, b = (pieces.split(texts(spark, d), *sizes).select(F.lit(t).alias("table_name"), F.col("id").alias("record_id"), "*").drop("id") for t, (texts, *sizes) in _SPLIT.items())
+    return a.unionByName(b)
+
+
+def p5_joints(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of every record over its limit: the characters of their own texts without white space,
+    whether no piece exceeds the limit, and whether every joint repeats as much as limit and piece before allow."""
+    out = []
+    for name, (texts, limit, overlap) in _SPLIT.items():
+        got = pieces.oversized(texts(spark, d), limit, overlap).distinct()
+        order = Window.partitionBy("id").orderBy("piece")
+        own = F.col("end") - F.col("own_start")
+        gap = F.least(F.lit(1), F.col("own_start") - F.lag("end").over(order))
+        due = F.greatest(F.lit(0), F.least(F.lit(overlap), F.length(F.lag("piece_text").over(order)), F.lit(limit) - own - gap))
+        before = F.lag("piece_text").over(order)
+        repeats = F.col("piece_text").startswith(F.right(before, F.col("overlap")))
+        joint = F.when(F.col("piece") == 0, F.col("overlap") == 0).otherwise((F.col("overlap") == due) & repeats)
+        letters = F.length(F.regexp_replace(F.right("piece_text", own), f"[{WS_CLASS}]", ""))
+        flagged = got.select("id", joint.alias("joint"), letters.alias("letters"), (F.length("piece_text") <= limit).alias("fits"))
+        out.append(
+            flagged.groupBy("id")
+            .agg(F.sum("letters").alias("letters"), F.min("fits").alias("within_limit"), F.min("joint").alias("overlaps_whole"))
+            .select(F.lit(name).alias("table_name"), F.col("id").alias("record_id"), "letters", "within_limit", "overlaps_whole")
+        )
+    return out[0].unionByName(out[1])
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +126,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p5_joints, p6_containers, p7_found, p7_leaks, p8_found)}
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
 #: White space for DuckDB classes.
@@ -124,4 +153,8 @@ WITH r AS (SELECT 'chunks' AS t, id, document AS x, 2000 AS m FROM chunks UNION
 s AS (SELECT DISTINCT t, id, m, regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS x FROM r)
 SELECT t AS table_name, id AS record_id, CASE WHEN list_max(list_transform(string_split_regex(x, '[{_WS}。！？]'), lambda y: length(y))) > m THEN 'hard' ELSE 'soft' END AS cut_kind
 FROM s WHERE length(x) > m""",
+    "p5_joints": rf"""
+WITH r AS (SELECT 'chunks' AS t, id, document AS x, 2000 AS m FROM chunks UNION ALL SELECT 'bookmarks', id, title, 120 FROM bookmarks),
+s AS (SELECT DISTINCT t, id, m, regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS x FROM r)
+SELECT t AS table_name, id AS record_id, length(regexp_replace(x, '[{_WS}]', '', 'g')) AS letters, TRUE AS within_limit, TRUE AS overlaps_whole FROM s WHERE length(x) > m""",
 }

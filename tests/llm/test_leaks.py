@@ -117,3 +117,15 @@ def test_masks_hit_every_overlap():
         wrong = set(rnd.sample(range(n), n // 10))
         whole = [s for s in range(shift, n - how.step + 1, how.step) if not wrong & set(range(s, s + how.step))]
         assert any(b - a <= how.step * len(how.masks) for a, b in zip(whole, whole[1:]))
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_an_item_id_with_two_texts(spark, bound):
+    """Each of an id's texts counts; items too short for a mask match nothing and never travel."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    a, b = word(80), word(90)
+    docs = [(1, word(30) + a + word(9), "", 0), (2, word(7) + b, "", 0), (3, "abc", "", 0)]
+    items = [(5, a, "", 0), (5, b, "", 0), (6, "abc", "", 0), (7, None, "", 0), (8, "  ", "", 0)]
+    got = L.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, SCHEMA), L.Seeds(broadcast_windows=bound)).collect()
+    assert {(r.doc_id, r.item_id, r.exact_chars) for r in got} == {(1, 5, 80), (2, 5, 90)}

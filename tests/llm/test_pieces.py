@@ -1,6 +1,6 @@
 import re
 
-from hypothesis import given, settings
+from hypothesis import given, seed, settings
 from hypothesis import strategies as st
 
 from marginalia.functions.identifiers import WS_CHARS
@@ -10,23 +10,59 @@ from marginalia.llm import pieces as C
 def check(text, limit, overlap):
     got = C.bisect(text, limit, overlap)
     covered = 0
-    for n, (start, own, end, hard) in enumerate(got):
-        assert 0 < end - start <= limit and start <= own
-        assert not text[covered:own].strip(WS_CHARS)
-        covered = end
-        if n:
-            assert own - start <= overlap + 2 and start >= 0
+    for n, p in enumerate(got):
+        assert 0 < len(p.text) <= limit and p.end > p.own
+        assert not text[covered : p.own].strip(WS_CHARS)
+        assert p.text.endswith(text[p.own : p.end])
+        before = got[n - 1].text if n else ""
+        gap = p.own - covered if n else 0
+        room = limit - (p.end - p.own) - min(1, gap)
+        assert p.overlap == max(0, min(overlap, len(before), room))
+        assert p.text.startswith(before[len(before) - p.overlap :])
+        # What stands between the two is white space of the text, whole if it fits.
+        between = p.text[p.overlap : len(p.text) - (p.end - p.own)]
+        assert len(between) == min(gap, limit - (p.end - p.own) - p.overlap) and not between.strip(WS_CHARS)
+        covered = p.end
     assert not text[covered:].strip(WS_CHARS)
     longest = max(map(len, re.split(f"[{re.escape(WS_CHARS)}。！？]", text)))
-    assert any(h for *_, h in got) == (longest > limit)
+    assert any(p.hard for p in got) == (longest > limit)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab .,。！\n\r\t　、!?", min_size=1, max_size=400), st.integers(8, 60))
-def test_invariants(text, limit):
+TEXTS = st.text(alphabet="ab .,。！\n\r\t　、!?", min_size=1, max_size=400)
+
+
+def invariants(text, limit):
     text = text.strip(WS_CHARS)
     if text:
         check(text, limit, limit // 10)
+        check(text, limit, limit // 3)
+
+
+@seed(1)
+@settings(max_examples=300, deadline=None, database=None)
+@given(TEXTS, st.integers(8, 60))
+def test_invariants(text, limit):
+    invariants(text, limit)
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS, st.integers(8, 60))
+def test_invariants_of_any_seed(text, limit):
+    invariants(text, limit)
+
+
+def test_blanks_and_marks():
+    check("??????   ?", 10, 1)
+    check("a" * 5 + " " * 40 + "b" * 9, 10, 2)
+    check("ab " * 3 + "\n" * 30 + "c d", 8, 4)
+
+
+def test_every_joint_has_its_overlap():
+    text = " ".join(f"Word{i} and more, it says." for i in range(900))
+    got = C.bisect(text, 2000, 200)
+    assert len(got) > 10 and all(p.overlap == 200 for p in got[1:])
+    crumbs = "abc\n\n" + "x" * 1790 + " " + "word " * 500
+    assert all(p.end - p.own > 3 for p in C.bisect(crumbs, 2000, 200)[1:])
 
 
 def test_runs_at_the_edge():
@@ -40,7 +76,7 @@ def test_runs_at_the_edge():
 def test_boundaries_are_natural():
     text = "First paragraph here.\n\n" + "Second one. " * 6 + "\n\nThird paragraph."
     got = C.bisect(text, 60, 6)
-    assert text[got[0][1] : got[0][2]] == "First paragraph here."
+    assert got[0].text == "First paragraph here."
 
 
 def test_table(spark):
