@@ -5,8 +5,13 @@ signature; signatures are cut into bands, records that share a band are candidat
 by the exact Jaccard similarity of its shingle sets.
 
 Equal sets are one class: only classes are banded, joined and verified, copies come back through a membership table.
+Texts are sketched once; the sketches are written, and the only texts read again are those of candidates.
+
 A bucket with more than ``hot`` classes is not paired off: its classes go through an exact prefix filter (two sets of
-similarity t share one of their rarest ``n - ceil(t n) + 1`` shingles), so no bucket is capped or dropped.
+similarity t share one of their rarest ``n - ceil(t n) + 1`` shingles), so no bucket is capped or dropped.  Hot buckets
+are thinned where they are made: of the classes that one task's block of ``block`` sketches has in a bucket, all but
+``hot + 1`` leave as members of the crowd at once, and those left tell the receiving task that the bucket is hot.  So a
+bucket that holds a third of all classes never meets in one task.
 
 Defined results: null texts, texts under ``least`` words and texts without shingle take no part; repeated rows count
 once; an id whose rows hold different texts takes part with each; empty tables give empty results; other columns are
@@ -38,6 +43,7 @@ class Likeness:
     bands: int = 56
     rows: int = 6
     hot: int = 500  #: classes in a bucket beyond which the prefix filter takes over
+    block: int = 50_000  #: sketches whose buckets are counted together before the shuffle
     spelled_out: int = 32  #: members up to which a class of copies is spelled out in pairs of records
 
     def sets(self) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
@@ -53,7 +59,7 @@ def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _sketching(how: Likeness, what: str):
-    """Batches (id, text) to id and cls (``keys``), to cls, number and band keys (``bands``) or to cls and shingles (``sets``)."""
+    """Batches (id, text) to id, cls, number and band keys (``bands``) or to cls and shingles (``sets``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = how.sets()
@@ -65,19 +71,17 @@ def _sketching(how: Likeness, what: str):
                     continue
                 starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
                 keys = pa.array(S.set_keys(flat, starts).view(np.int64))
-                if what == "keys":
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts] + lo)), keys], ["id", "cls"])
-                elif what == "bands":
+                if what == "bands":
                     b = S.bands(S.signatures(flat, starts, how.bands * how.rows), how.rows)
                     n = pa.array(np.diff(np.append(starts, len(flat))).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([keys, n, _lists(b, np.arange(len(b) + 1) * how.bands)], ["cls", "n", "bands"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts] + lo)), keys, n, _lists(b, np.arange(len(b) + 1) * how.bands)], ["id", "cls", "n", "bands"])
                 else:
                     yield pa.RecordBatch.from_arrays([keys, _lists(flat, np.append(starts, len(flat)))], ["cls", "shingles"])
 
     return run
 
 
-_SKETCH = {"keys": "id string, cls bigint", "bands": "cls bigint, n int, bands array<bigint>", "sets": "cls bigint, shingles array<bigint>"}
+_SKETCH = {"bands": "id string, cls bigint, n int, bands array<bigint>", "sets": "cls bigint, shingles array<bigint>"}
 
 
 def sketches(records: DataFrame, how: Likeness, what: str) -> DataFrame:
@@ -85,6 +89,39 @@ def sketches(records: DataFrame, how: Likeness, what: str) -> DataFrame:
     return records.select(F.col("id").cast("string").alias("id"), "text").dropna().mapInArrow(_sketching(how, what), _SKETCH[what])
 
 
+def _thinned(how: Likeness):
+    """Sketches (cls, n, bands) to rows (bucket, cls, n); a bucket's classes beyond ``hot + 1`` in a block have no bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            cls = np.concatenate([b.column(0).to_numpy() for b in held])
+            n = np.concatenate([b.column(1).to_numpy() for b in held])
+            keys = np.concatenate([b.column(2).flatten().to_numpy() for b in held])
+            # Copies in one block need to be told only once.
+            _, first = np.unique(cls, return_index=True)
+            keys = keys.reshape(len(cls), how.bands)[first].reshape(-1)
+            cls, n = np.repeat(cls[first], how.bands), np.repeat(n[first], how.bands)
+            order = np.argsort(keys, kind="stable")
+            ordered = keys[order]
+            starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+            sizes = np.diff(np.append(starts, len(ordered)))
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.arange(len(ordered)) - np.repeat(starts, sizes)
+            return pa.RecordBatch.from_arrays([pa.array(keys, mask=place > how.hot), pa.array(cls), pa.array(n)], ["bucket", "cls", "n"])
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= how.block:
+                yield block(held)
+                held, rows = [], 0
+        if rows:
+            yield block(held)
+
+    return run
+
+
 class _Pairs:
     """Turns sorted (bucket, cls, n) rows, batch by batch, into candidate pairs, or into the members of hot buckets."""
 
@@ -139,10 +176,12 @@ def _paired(how: Likeness):
     return run
 
 
-def _in_buckets(rows: DataFrame, how: Likeness) -> DataFrame:
-    """Rows (bucket, cls, n) to pairs a < b of one bucket, or (member, null) for members of a hot one."""
-    once = rows.repartition("bucket").dropDuplicates(["bucket", "cls"]).sortWithinPartitions("bucket", "cls")
-    return once.mapInArrow(_paired(how), "a bigint, b bigint").distinct()
+def _candidates(sketched: DataFrame, how: Likeness) -> DataFrame:
+    """Sketches (cls, n, bands) to pairs a < b of one bucket, or (member, null) for members of a hot one."""
+    rows = sketched.select("cls", "n", "bands").mapInArrow(_thinned(how), "bucket bigint, cls bigint, n int")
+    once = rows.filter("bucket is not null").repartition("bucket").dropDuplicates(["bucket", "cls"]).sortWithinPartitions("bucket", "cls")
+    crowd = rows.filter("bucket is null").select(F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    return once.mapInArrow(_paired(how), "a bigint, b bigint").unionByName(crowd).distinct()
 
 
 def _verified(how: Likeness):
@@ -172,20 +211,24 @@ def _verified(how: Likeness):
 
 
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact candidates among ``sets`` (cls, shingles): pairs that share one of their rarest shingles."""
+    """Exact candidates among ``sets`` (cls, shingles): pairs of near sizes that share one of their rarest shingles."""
     single = sets.select("cls", F.explode("shingles").alias("s"))
     df = single.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     n = F.size("ranked")
     ranked = single.join(df, "s").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("ranked"))
-    prefix = ranked.select("cls", F.explode(F.slice("ranked", 1, n - F.ceil(F.lit(threshold) * n).cast("int") + 1)).alias("r")).select("cls", F.col("r.s").alias("bucket"))
-    other = prefix.select(F.col("cls").alias("b"), "bucket")
-    return prefix.select(F.col("cls").alias("a"), "bucket").join(other, "bucket").filter("a < b").select("a", "b").distinct()
+    rare = F.slice("ranked", 1, n - F.ceil(F.lit(threshold) * n).cast("int") + 1)
+    # Shingles that no other set has join nothing.
+    prefix = ranked.select("cls", n.alias("n"), F.explode(F.filter(rare, lambda r: r["df"] > 1)).alias("r")).select("cls", "n", F.col("r.s").alias("bucket"))
+    other = prefix.select(F.col("cls").alias("b"), F.col("n").alias("m"), "bucket")
+    near = (F.col("a") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))
+    return prefix.select(F.col("cls").alias("a"), "n", "bucket").join(other, "bucket").filter(near).select("a", "b").distinct()
 
 
 def similar_classes(records: DataFrame, how: Likeness, cut) -> tuple[DataFrame, DataFrame]:
     """``records`` (id, text) to the membership table (cls, id) and the verified pairs of classes (a, b, jaccard), a < b."""
-    members = cut(sketches(records, how, "keys").distinct())
-    candidates = cut(_in_buckets(sketches(records, how, "bands").select(F.explode("bands").alias("bucket"), "cls", "n"), how))
+    sketched = cut(sketches(records, how, "bands"))
+    members = sketched.select("cls", "id").distinct()
+    candidates = cut(_candidates(sketched, how))
     heads = members.groupBy("cls").agg(F.min("id").alias("id"))
     texts = records.select(F.col("id").cast("string").alias("id"), "text").dropna()
     if candidates.filter("b is null").limit(1).count():

@@ -129,6 +129,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p5_joints, p6_containers, p7_found, p7_leaks, p8_found)}
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
+#: Copies up to which a class is given in all pairs.
+COPIES = CHUNK_LIKENESS.spelled_out
 #: White space for DuckDB classes.
 _WS = r" \t\r\n\x{A0}\x{202F}\x{3000}"
 
@@ -136,12 +138,27 @@ SQL = {
     "p2_found": rf"""
 WITH words AS (SELECT DISTINCT id, regexp_extract_all(regexp_replace(lower(document), '({_CJK})', ' \1 ', 'g'), '{_CJK}|[\p{{L}}\p{{N}}]+') AS w FROM chunks WHERE document IS NOT NULL),
 sets AS (
-  SELECT 'chunks' AS t, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) >= 20
+  SELECT 'chunks' AS t, id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM words WHERE len(w) >= 20
   UNION ALL
-  SELECT DISTINCT 'manuals', id, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) FROM (SELECT id, replace(lower(relative_path), '\', '/') AS p FROM manuals) WHERE length(p) >= 3),
-one AS (SELECT t, id, len(s) AS n, unnest(s) AS x FROM sets)
+  SELECT DISTINCT 'manuals', id, list_sort(list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) FROM (SELECT id, replace(lower(relative_path), '\', '/') AS p FROM manuals) WHERE length(p) >= 3),
+-- Copies: up to {COPIES} are given in all pairs, more as the smallest id with each other one.
+classes AS (SELECT t, s, min(id) AS head, count(DISTINCT id) AS copies FROM sets GROUP BY t, s),
+kept AS (SELECT sets.t, sets.id, sets.s FROM sets JOIN classes USING (t, s) WHERE copies <= {COPIES} OR id = head),
+one AS (SELECT t, id, len(s) AS n, unnest(s) AS x FROM kept)
 SELECT a.t AS table_name, a.id AS id_a, b.id AS id_b FROM one a JOIN one b ON a.t = b.t AND a.x = b.x AND a.id < b.id
-GROUP BY a.t, a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))""",
+GROUP BY a.t, a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))
+UNION SELECT sets.t, head, id FROM sets JOIN classes USING (t, s) WHERE copies > {COPIES} AND id <> head""",
+    "p2_groups": rf"""
+WITH RECURSIVE words AS (SELECT DISTINCT id, regexp_extract_all(regexp_replace(lower(document), '({_CJK})', ' \1 ', 'g'), '{_CJK}|[\p{{L}}\p{{N}}]+') AS w FROM chunks WHERE document IS NOT NULL),
+sets AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM words WHERE len(w) >= 20),
+classes AS (SELECT s, min(id) AS head, count(DISTINCT id) AS copies FROM sets GROUP BY s),
+one AS (SELECT head AS id, len(s) AS n, unnest(s) AS x FROM classes),
+near AS (SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT head, head FROM classes UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+first AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT sets.id, group_id, coalesce(links.n, 0)::BIGINT AS links, copies - 1 AS copies
+FROM sets JOIN classes USING (s) JOIN first ON first.a = head LEFT JOIN links ON links.a = head""",
     "p3_found": """
 WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
 u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))::DOUBLE[64] AS e FROM v),
