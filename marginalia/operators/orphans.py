@@ -1,12 +1,17 @@
 """References to records that do not exist.
 
-Method: a skew-aware split.  References are pre-aggregated per target key and calendar month; keys that hold many
-references are joined with a broadcast of their few target states, the remaining keys by a shuffled join, and both
-results are united.  A target state says whether a key has rows, when it was first and last written, and when it was
-last removed.
+Method: a skew-aware split.  References are pre-aggregated per target key and calendar month; the groups carry the
+verdicts.  Keys that hold many references, counted and small enough to broadcast, meet the target states in a broadcast
+join; the remaining keys go through a shuffled anti-join, which finds the missing ones, and a join with the states of
+the known ones; both parts are united.  A target state says whether a key has rows, when it was first and last written,
+and when it was last removed.
 
-Broadcast bound: a key is heavy if it holds at least ``max(min_heavy, references / MAX_HEAVY)`` references, so there
-are never more than ``MAX_HEAVY`` heavy keys, whatever the data.
+Counts come from the groups.  Rows come from joining the broken groups, and only them, back to the references: by
+broadcast if they are small, else heavy groups by broadcast and the others by shuffle.
+
+A key is heavy from ``min_heavy`` references on, however many references there are.  Heavy keys are broadcast only if
+they take up no more than ``BROADCAST_BYTES``, by their measured length; beyond that, references and groups are salted
+over ``SALTS`` parts of a key, so that no key goes to one task as a whole.
 
 Defined results: null or blank references yield nothing; a null date satisfies no date comparison; repeated rows of a
 record count once; empty tables give empty results (references to an empty table are all missing); columns besides
@@ -20,8 +25,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Upper bound of the number of keys that are treated as heavy.
-MAX_HEAVY = 500
+#: Most bytes of keys that are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Parts of a key where heavy keys are too many to broadcast.
+SALTS = 32
 
 _KEY = ["target_table", "key"]
 _REF = ["table_name", "ref_field", *_KEY]
@@ -114,69 +121,93 @@ def target_states(targets: list[Target], removed: DataFrame) -> DataFrame:
 
 
 def reference_groups(refs: DataFrame) -> DataFrame:
-    """References pre-aggregated per key and calendar month (``yyyy-MM``; null without date)."""
+    """References pre-aggregated per key and calendar month (``yyyy-MM``; null without date): n, and first and last date."""
     return refs.groupBy(*_REF, F.date_format("first_date", "yyyy-MM").alias("period")).agg(
         F.count(F.lit(1)).alias("n"), F.min("first_date").alias("lo"), F.max("first_date").alias("hi")
     )
 
 
+def _bytes(rows: DataFrame) -> int:
+    """Length of ``rows`` of keys, as they would be broadcast."""
+    return rows.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0
+
+
 def heavy_keys(groups: DataFrame, min_heavy: int) -> DataFrame:
-    """At most ``MAX_HEAVY`` keys that hold a large share of all references."""
-    sums = groups.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    rows = sums.filter(F.col("n") >= max(min_heavy, -(-total // MAX_HEAVY))).select(*_KEY).collect()
-    return groups.sparkSession.createDataFrame(rows, "target_table string, key string")
+    """Keys with at least ``min_heavy`` references."""
+    return groups.groupBy(*_KEY).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_heavy).select(*_KEY)
+
 
+def judged(groups: DataFrame, states: DataFrame, heavy: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broken groups with reason and target_first.
 
-def with_states(refs: DataFrame, states: DataFrame, heavy: DataFrame) -> DataFrame:
-    """``refs`` left-joined with ``states``: heavy keys by broadcast, the rest by shuffle."""
+    reason is ``missing`` (no row), ``removed``, ``early`` (all of the group's records are older than their target) or
+    ``part`` (some are).
+    """
+    known = states.filter("present")
+
+    def found(part: DataFrame, small: bool) -> DataFrame:
+        right = F.broadcast(known.join(F.broadcast(heavy), _KEY, "left_semi")) if small else known
+        absent = part.join(right, _KEY, "left_anti").select(*part.columns, F.lit("missing").alias("reason"), F.lit(None).cast("timestamp").alias("target_first"))
+        reason = F.when(F.col("gone"), "removed").when(F.col("hi") < F.col("target_first"), "early").when(F.col("lo") < F.col("target_first"), "part")
+        # A null verdict is a sound group.
+        return absent.unionByName(part.join(right, _KEY).select(*part.columns, reason.alias("reason"), "target_first").filter(F.col("reason").isNotNull()))
+
+    size = _bytes(heavy)
+    if not 0 < size <= broadcast_bytes:
+        # No heavy keys, or too many: groups hold one row per key, field and month, so nothing is skewed here.
+        return found(groups, False)
     hot = F.broadcast(heavy)
-    hot_states = F.broadcast(states.join(hot, _KEY, "left_semi"))
-    return (
-        refs.join(hot, _KEY, "left_semi")
-        .join(hot_states, _KEY, "left")
-        .unionByName(refs.join(hot, _KEY, "left_anti").join(states, _KEY, "left"))
-    )
+    return found(groups.join(hot, _KEY, "left_semi"), True).unionByName(found(groups.join(hot, _KEY, "left_anti"), False))
 
 
-def _broken_always() -> Column:
-    return F.coalesce(~F.col("present") | F.col("gone"), F.lit(True))
+def _broken_groups(refs: DataFrame, states: DataFrame, cut, min_heavy: int, broadcast_bytes: int) -> DataFrame:
+    groups = cut(reference_groups(refs))
+    return cut(judged(groups, states, cut(heavy_keys(groups, min_heavy)), broadcast_bytes))
 
 
-def orphan_rows(references: list[Reference], targets: list[Target], removed: DataFrame, min_heavy: int = 5000) -> DataFrame:
-    """Every broken reference: table_name, record_id, ref_field, period, reason.
+def members(refs: DataFrame, broken: DataFrame, min_heavy: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The references of ``broken`` groups, with the group's reason; of groups broken in part only those that are older than the target."""
+    on = [*_REF, "month"]
+    left = refs.withColumn("month", _month(F.col("first_date")))
+    right = broken.select(*_REF, F.coalesce("period", F.lit("")).alias("month"), "n", "reason", "target_first")
+    if _bytes(right) <= broadcast_bytes:
+        joined = left.join(F.broadcast(right.drop("n")), on)
+    else:
+        heavy = right.filter(F.col("n") >= min_heavy)
+        if _bytes(heavy) <= broadcast_bytes:
+            hot = F.broadcast(heavy.drop("n"))
+            light = left.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+            joined = left.join(hot, on).unionByName(light.join(right.filter(F.col("n") < min_heavy).drop("n"), on))
+        else:
+            salted = left.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+            copies = right.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined = salted.join(copies, [*on, "salt"]).drop("salt")
+    return joined.filter((F.col("reason") != "part") | F.coalesce(F.col("first_date") < F.col("target_first"), F.lit(False)))
 
-    reason is ``missing`` (no row), ``removed`` or ``early`` (the referring record is older than its target).
-    """
+
+def _month(date: Column) -> Column:
+    return F.coalesce(F.date_format(date, "yyyy-MM"), F.lit(""))
+
+
+def orphan_rows(references: list[Reference], targets: list[Target], removed: DataFrame, cut, min_heavy: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every broken reference: table_name, record_id, ref_field, period, reason (missing, removed or early)."""
     refs, states = reference_rows(references), target_states(targets, removed)
-    joined = with_states(refs, states, heavy_keys(reference_groups(refs), min_heavy))
-    reason = (
-        F.when(~F.coalesce("present", F.lit(False)), "missing")
-        .when(F.col("gone"), "removed")
-        .when(F.col("first_date") < F.col("target_first"), "early")
-    )
-    return joined.select("table_name", "record_id", "ref_field", F.date_format("first_date", "yyyy-MM").alias("period"), reason.alias("reason")).filter(
-        F.col("reason").isNotNull()
-    )
+    broken = _broken_groups(refs, states, cut, min_heavy, broadcast_bytes)
+    period = F.nullif("month", F.lit("")).alias("period")
+    reason = F.when(F.col("reason") == "part", "early").otherwise(F.col("reason")).alias("reason")
+    return members(refs, broken, min_heavy, broadcast_bytes).select("table_name", "record_id", "ref_field", period, reason)
 
 
-def orphan_counts(references: list[Reference], targets: list[Target], removed: DataFrame, min_heavy: int = 5000) -> DataFrame:
+def orphan_counts(references: list[Reference], targets: list[Target], removed: DataFrame, cut, min_heavy: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broken references per table_name, ref_field and calendar month.
 
-    Works on pre-aggregated groups.  Only groups whose month is the very month in which the target first appeared
-    can be broken in part; their records are compared one by one.
+    Only groups whose month is the very month in which the target first appeared can be broken in part; their records
+    are compared one by one.
     """
     refs, states = reference_rows(references), target_states(targets, removed)
-    groups = reference_groups(refs)
-    judged = with_states(groups, states, heavy_keys(groups, min_heavy)).withColumn(
-        "verdict",
-        F.when(_broken_always() | (F.col("hi") < F.col("target_first")), "all").when(F.col("lo") < F.col("target_first"), "part").otherwise("none"),
-    )
-    whole = judged.filter("verdict = 'all'").select("table_name", "ref_field", "period", "n")
-    parts = judged.filter("verdict = 'part'").select(*_REF, "target_first")
-    partly = (
-        refs.join(parts, _REF)
-        .filter(F.col("first_date") < F.col("target_first"))
-        .select("table_name", "ref_field", F.date_format("first_date", "yyyy-MM").alias("period"), F.lit(1).cast("bigint").alias("n"))
+    broken = _broken_groups(refs, states, cut, min_heavy, broadcast_bytes)
+    whole = broken.filter("reason <> 'part'").select("table_name", "ref_field", "period", "n")
+    partly = members(refs, broken.filter("reason = 'part'"), min_heavy, broadcast_bytes).select(
+        "table_name", "ref_field", F.nullif("month", F.lit("")).alias("period"), F.lit(1).cast("bigint").alias("n")
     )
     return whole.unionByName(partly).groupBy("table_name", "ref_field", "period").agg(F.sum("n").alias("orphans"))

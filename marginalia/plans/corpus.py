@@ -34,12 +34,12 @@ def _references(spark: SparkSession, d: str) -> tuple[list[Reference], list[Targ
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Broken references of figures, chunks and index rows: table_name, record_id, ref_field."""
-    return orphan_rows(*_references(spark, d)).select("table_name", "record_id", "ref_field")
+    return orphan_rows(*_references(spark, d), cut).select("table_name", "record_id", "ref_field")
 
 
 def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     """Broken references per table, field and calendar month of the referring record."""
-    return orphan_counts(*_references(spark, d))
+    return orphan_counts(*_references(spark, d), cut)
 
 
 def _outline(spark: SparkSession, d: str) -> DataFrame:
