@@ -1,15 +1,20 @@
 """Parent-child rows to full hierarchies.
 
 Method: contraction.  Rows are placed so that most of a chain lies in one partition.  Each partition contracts its own
-chains: every node learns the node at which its chain leaves the partition.  The nodes at which chains enter another
-partition form a smaller quotient forest of the same shape, which is solved by the same step over larger blocks; then
-the fragments are expanded with the quotient's answers.  Loops inside a partition are found there, loops across
-partitions in the quotient.  A quotient that no longer shrinks and is too large for one partition is solved by pointer
-doubling, so any input ends after a logarithmic number of rounds.
+chains, piece by piece: every node learns the node at which its chain leaves the piece.  The nodes at which chains enter
+another piece form a smaller quotient forest of the same shape, which is solved by the same step over larger blocks; then
+the fragments are expanded with the quotient's answers.  Loops inside a piece are found there, loops across pieces in the
+quotient.  Numbers of descendants go the same way upwards: a piece sums its own nodes and what enters it.
 
-Every edge table has: node, parent (null: none), own (bookmarks the node stands for), low (their smallest id), last (the
-id at their upper end), path (their ids from the top down, or null), loop (smallest id of the loop it is known to run
-into) and the placement columns grp and pos.
+Placement: neighbouring positions of one group lie together; rows without group or position are spread.  A quotient that
+doesn't halve any more has no locality left: from then on each node is placed, by a coin, either with its parent or where
+its own children may come to it, so a quarter of all links falls inside a piece in every round, whatever the forest looks
+like.  A task holds ``LOCAL_ROWS`` rows and a batch at most, however many rows its partition has.
+
+Every edge table has: node, parent (null: none), own (nodes on the way that the node stands for), low (their smallest id),
+last (the id at their upper end), path (their ids from the top down, or null), loop (smallest id of the loop it is known to
+run into), weight (nodes below that it stands for, itself included) and the placement columns grp and pos; rows of the
+first round also have their id, ordering and level.
 
 Defined results: rows without id are left out; repeated rows of a node count once; a node that is its own parent is a
 loop of one; an empty table gives empty results; a null level is a wrong level, as no number equals it.
@@ -21,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that one partition solves; memory of a task is bounded by it.
+#: Rows that are contracted together; memory of a task is bounded by it.
 LOCAL_ROWS = 200_000
-#: Quotient answers up to this many rows (about 150 bytes each without paths) are broadcast for the expansion.
-BROADCAST_ROWS = 50_000
-#: Neighbouring positions that are kept together in the first round; later rounds take 64 times as many.
+#: Quotient answers up to this many bytes, by their measured lengths, are broadcast for the expansion.
+BROADCAST_BYTES = 16 << 20
+#: Neighbouring positions that are kept together in the first round; later rounds take up to 64 times as many.
 BLOCK = 4096
+#: Positions of rows that have none.
+_SPREAD = 1 << 40
 
-_FRAGMENT = "node string, exit string, own bigint, low string, last string, loop string, path array<string>, grp string, pos bigint, late boolean"
+_OWN = "id string, parent string, grp string, pos bigint, ordering bigint, level bigint, weight bigint"
+_FRAGMENT = f"node string, {_OWN}, exit string, own bigint, low string, last string, loop string, path array<string>, late string, piece bigint"
 
 
 def _doubled(step: np.ndarray, own: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +77,8 @@ def _loop_ranks(step: np.ndarray, endless: np.ndarray, rank: np.ndarray) -> dict
     return found
 
 
-def contract(batch: pd.DataFrame) -> pd.DataFrame:
-    """The chains of one partition's edge rows, contracted to their exits."""
+def contract(batch: pd.DataFrame, piece: int = 0) -> pd.DataFrame:
+    """The chains of one piece's edge rows, contracted to their exits."""
     n = len(batch)
     ids = pd.Index(batch["node"])
     parent = batch["parent"].to_numpy(object)
@@ -96,158 +105,171 @@ def contract(batch: pd.DataFrame) -> pd.DataFrame:
                 j = int(step[j])
             for j in reversed(todo):
                 paths[j] = list(mine[j]) if step[j] < 0 else paths[int(step[j])] + list(mine[j])
+    # Compared with a parent in the same piece: the parent's id if that stands at or behind the node, else empty.
     late = np.full(n, None, object)
     inner = np.flatnonzero(step >= 0)
-    if len(inner) and "ordering" in batch:
+    if len(inner):
         up = step[inner]
         grp, order = batch["grp"].to_numpy(object), batch["ordering"].to_numpy(float)
-        late[inner] = (grp[inner] == grp[up]) & (grp[inner] != "") & (order[up] >= order[inner])
-    return pd.DataFrame(
-        {
-            "node": batch["node"].to_numpy(object),
-            "exit": np.where(pd.isna(loop), parent[end], None) if n else parent,
-            "own": total,
-            "low": names[least] if n else low,
-            "last": batch["last"].to_numpy(object)[end] if n else low,
-            "loop": loop,
-            "path": paths,
-            "grp": batch["grp"].to_numpy(object),
-            "pos": batch["pos"].to_numpy(np.int64),
-            "late": late,
-        }
-    )
-
-
-def _contract_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    got = [b for b in batches if len(b)]
-    if got:
-        yield contract(pd.concat(got, ignore_index=True))
-
-
-def _fragments(edges: DataFrame, rows: int, block: int, local_rows: int) -> DataFrame:
-    parts = max(1, -(-rows // local_rows))
-    placed = edges.repartition(parts, "grp", F.floor(F.col("pos") / block)) if parts > 1 else edges.coalesce(1)
-    return placed.mapInPandas(_contract_partition, _FRAGMENT)
-
-
-def _answers(fragments: DataFrame, solved: DataFrame | None, solved_rows: int) -> DataFrame:
-    """Fragments expanded with the answers of the quotient, if there is one: node, kind, ref, total, path."""
+        behind = (grp[inner] == grp[up]) & (grp[inner] != "") & (order[up] >= order[inner])
+        late[inner] = np.where(behind, batch["id"].to_numpy(object)[up], "")
+    out = batch[["node", "id", "parent", "grp", "pos", "ordering", "level", "weight"]].copy()
+    out["exit"] = np.where(pd.isna(loop), parent[end], None) if n else parent
+    out["own"], out["low"], out["last"] = total, names[least] if n else low, batch["last"].to_numpy(object)[end] if n else low
+    out["loop"], out["path"], out["late"], out["piece"] = loop, paths, late, piece
+    return out
+
+
+def _contracting(local_rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        piece = (context.partitionId() if context else 0) << 32
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= local_rows:
+                yield contract(pd.concat(held, ignore_index=True), piece)
+                held, piece = [], piece + 1
+        if sum(map(len, held)):
+            yield contract(pd.concat(held, ignore_index=True), piece)
+
+    return run
+
+
+def _fragments(edges: DataFrame, rows: int, block: int, local_rows: int, coin: int | None) -> DataFrame:
+    """``edges`` contracted piece by piece; ``coin`` numbers the round if nodes are to be mated with their parents."""
+    parts = -(-rows // local_rows)
+    if parts <= 1:
+        placed = edges.coalesce(1)
+    elif coin is None:
+        placed = edges.withColumn("_b", F.floor(F.col("pos") / block)).repartition(parts, "grp", "_b").sortWithinPartitions("grp", "_b").drop("_b")
+    else:
+        follows = F.col("parent").isNotNull() & (F.pmod(F.xxhash64("node", F.lit(coin)), F.lit(2)) == 0)
+        placed = edges.withColumn("_b", F.when(follows, F.col("parent")).otherwise(F.col("node"))).repartition(parts, "_b").sortWithinPartitions("_b").drop("_b")
+    return placed.mapInPandas(_contracting(local_rows), _FRAGMENT)
+
+
+_PASSED = ["node", "id", "parent", "grp", "ordering", "level", "late"]
+
+
+def _small(rows: DataFrame, count: int) -> bool:
+    """Whether answers of a quotient may be broadcast, by their measured lengths."""
+    if count > BROADCAST_BYTES // 100:
+        return False
+    paths = F.coalesce(F.aggregate("path", F.lit(0), lambda s, x: s + F.octet_length(x) + 16), F.lit(0))
+    return (rows.agg(F.sum(F.octet_length("node") + F.octet_length("ref") + 100 + paths)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _answers(fragments: DataFrame, solved: DataFrame | None, small: bool) -> DataFrame:
+    """Fragments expanded with the answers of the quotient, if there is one: node, kind, ref, total, path and what rows brought along."""
     ended = fragments.filter(F.col("exit").isNull()).select(
-        "node",
+        *_PASSED,
         F.when(F.col("loop").isNotNull(), "loop").otherwise("root").alias("kind"),
         F.coalesce("loop", "last").alias("ref"),
         F.col("own").alias("total"),
         "path",
     )
+    left = fragments.filter(F.col("exit").isNotNull())
     if solved is None:  # every exit leads to a node that has no row
-        return ended.unionByName(fragments.filter(F.col("exit").isNotNull()).select("node", F.lit("cut").alias("kind"), F.col("last").alias("ref"), F.col("own").alias("total"), "path"))
+        return ended.unionByName(left.select(*_PASSED, F.lit("cut").alias("kind"), F.col("last").alias("ref"), F.col("own").alias("total"), "path"))
     right = solved.select(F.col("node").alias("exit"), "kind", "ref", F.col("total").alias("above"), F.col("path").alias("up"))
-    right = F.broadcast(right) if solved_rows <= BROADCAST_ROWS else right
-    passed = (
-        fragments.filter(F.col("exit").isNotNull())
-        .join(right, "exit", "left")
-        .select(
-            "node",
-            F.coalesce("kind", F.lit("cut")).alias("kind"),
-            F.coalesce("ref", "last").alias("ref"),
-            (F.col("own") + F.coalesce("above", F.lit(0))).alias("total"),
-            F.when(F.col("kind").isNull(), F.col("path")).otherwise(F.concat("up", "path")).alias("path"),
-        )
+    passed = left.join(F.broadcast(right) if small else right, "exit", "left").select(
+        *_PASSED,
+        F.coalesce("kind", F.lit("cut")).alias("kind"),
+        F.coalesce("ref", "last").alias("ref"),
+        (F.col("own") + F.coalesce("above", F.lit(0))).alias("total"),
+        F.when(F.col("kind").isNull(), F.col("path")).otherwise(F.concat("up", "path")).alias("path"),
     )
     return ended.unionByName(passed)
 
 
-def _doublings(edges: DataFrame, rows: int, cut, with_path: bool) -> DataFrame:
-    """``edges`` with every parent moved up as far as its chain goes; endless chains keep a parent that has a row."""
-    for _ in range(int(rows).bit_length() + 1):
-        up = edges.select(F.col("node").alias("parent"), *(F.col(c).alias(f"u_{c}") for c in ("parent", "own", "low", "last", "path", "loop")))
-        there = F.col("u_own").isNotNull()
+def contracted(edges: DataFrame, cut, local_rows: int = LOCAL_ROWS, block: int = BLOCK) -> list[tuple[DataFrame, int]]:
+    """The fragments of every round, and how many they are.  ``cut`` writes a frame and reads it back."""
+    edges = cut(edges)
+    rows, before, widest = edges.count(), None, 64 * block
+    levels: list[tuple[DataFrame, int]] = []
+    mating = False
+    while rows or not levels:
+        mating = mating or (before is not None and 2 * rows > before)
+        fragments = cut(_fragments(edges, rows, block, local_rows, len(levels) if mating else None))
+        levels.append((fragments, rows))
+        entries = fragments.filter(F.col("exit").isNotNull()).groupBy(F.col("exit").alias("node")).agg(F.sum("weight").alias("weight"))
+        quotient = fragments.drop("weight", "parent").join(entries, "node")
+        none = F.lit(None)
         edges = cut(
-            edges.join(up, "parent", "left").select(
-                "node",
-                F.when(there, F.col("u_parent")).otherwise(F.col("parent")).alias("parent"),
-                (F.col("own") + F.coalesce("u_own", F.lit(0))).alias("own"),
-                F.least("low", "u_low").alias("low"),
-                F.coalesce("u_last", "last").alias("last"),
-                (F.when(there, F.concat("u_path", "path")).otherwise(F.col("path")) if with_path else F.lit(None).cast("array<string>")).alias("path"),
-                F.coalesce("u_loop", "loop").alias("loop"),
-                there.alias("moved"),
+            quotient.select(
+                "node", none.cast("string").alias("id"), F.col("exit").alias("parent"), "grp", "pos", none.cast("bigint").alias("ordering"), none.cast("bigint").alias("level"), "weight",
+                "own", "low", "last", "path", "loop",
             )
-        )
-        if not edges.filter("moved").limit(1).count():
-            break
-    return edges.drop("moved")
+        )
+        before, rows, block = rows, edges.count(), min(widest, block * 64)
+    return levels
 
 
-def _jumped(edges: DataFrame, rows: int, cut) -> DataFrame:
-    """Answers by pointer doubling, for a forest that no partition can hold.  Paths come after loops are known."""
-    edges = edges.drop("grp", "pos")
-    far = _doublings(edges, rows, cut, False)
-    # What still points at a row never ends; that row lies on the loop, and its low spans all of it.
-    on = far.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("p_node"), F.col("node").alias("from_node")).join(
-        far.select(F.col("node").alias("p_node"), F.col("low").alias("found")), "p_node"
-    )
-    looped = on.select(F.col("from_node").alias("node"), "found")
-    broken = cut(
-        edges.join(looped, "node", "left").select(
-            "node",
-            F.when(F.col("found").isNull(), F.col("parent")).alias("parent"),
-            "own",
-            "low",
-            "last",
-            "path",
-            F.coalesce("loop", "found").alias("loop"),
-        )
-    )
-    done = _doublings(broken, rows, cut, True)
-    return done.select(
-        "node",
-        F.when(F.col("loop").isNotNull(), "loop").when(F.col("parent").isNull(), "root").otherwise("cut").alias("kind"),
-        F.coalesce("loop", "last").alias("ref"),
-        F.col("own").alias("total"),
-        F.when(F.col("loop").isNull(), F.col("path")).alias("path"),
-    )
-
-
-def solve(edges: DataFrame, cut, local_rows: int = LOCAL_ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Answers for every node (node, kind root, cut or loop, ref, total, path), and the first round's fragments.
+def solve(edges: DataFrame, cut, **sizes) -> DataFrame:
+    """Answers for every node: node, kind (root, cut or loop), ref, total, path, and id, parent, grp, ordering, level, late.
 
-    ``cut`` writes a frame and reads it back.  total is the number of nodes on the way up, ends included; in a loop it
-    means nothing.
+    total is the number of nodes on the way up, ends included; in a loop it means nothing.
     """
-    edges = cut(edges)
-    rows, before, widest = edges.count(), None, 64 * block
-    levels: list[DataFrame] = []
-    answer, answer_rows = None, 0
-    while rows or not levels:
-        if before is not None and rows > local_rows and 2 * rows > before and block > widest:
-            answer, answer_rows = _jumped(edges, rows, cut), rows
-            break
-        fragments = cut(_fragments(edges, rows, block, local_rows))
-        levels.append((fragments, rows))
-        entries = fragments.filter(F.col("exit").isNotNull()).select(F.col("exit").alias("node")).distinct()
-        quotient = fragments.join(entries, "node", "left_semi")
-        edges = cut(quotient.select("node", F.col("exit").alias("parent"), "own", "low", "last", "path", "loop", "grp", "pos"))
-        before, rows, block = rows, edges.count(), block * 64
-    for fragments, size in reversed(levels):
-        answer = _answers(fragments, answer, answer_rows)
-        answer_rows = size
-    return answer, levels[0][0]
+    return _expanded(contracted(edges, cut, **sizes), cut)
+
+
+def _expanded(levels: list[tuple[DataFrame, int]], cut) -> DataFrame:
+    answer, small = None, False
+    for n, (fragments, size) in reversed(list(enumerate(levels))):
+        answer = _answers(fragments, answer, small)
+        if n:
+            answer = cut(answer)
+            small = _small(answer, size)
+    return answer
+
+
+def _summed(piece: pd.DataFrame) -> pd.DataFrame:
+    """Per node of one piece the weights of all nodes of the piece below it and itself; 0 where the way never ends."""
+    ids = pd.Index(piece["node"])
+    parent = piece["parent"].to_numpy(object)
+    step = np.where(pd.isna(parent), -1, ids.get_indexer(pd.Index(parent, dtype=object))).astype(np.int64)
+    ones = np.ones(len(step), np.int64)
+    end, depth, _ = _doubled(step, ones, np.zeros(len(step), np.int64))
+    total = np.where(step[end] < 0, piece["weight"].to_numpy(np.int64), 0).tolist()
+    ends, up = (step[end] < 0).tolist(), step.tolist()
+    for i in np.argsort(-depth, kind="stable").tolist():
+        if ends[i] and up[i] >= 0:
+            total[up[i]] += total[i]
+    return pd.DataFrame({"node": piece["node"].to_numpy(object), "below": np.array(total, np.int64)})
+
+
+def _counted(levels: list[tuple[DataFrame, int]], cut) -> DataFrame:
+    """Per node (node, below) the number of nodes below it and itself; of nodes that run into a loop it means nothing."""
+    counts = None
+    for n, (fragments, _) in reversed(list(enumerate(levels))):
+        own = fragments.select("piece", "node", "parent", "weight")
+        if counts is not None:
+            entering = counts.select("node", F.col("below").alias("entering"))
+            own = own.join(entering, "node", "left").select("piece", "node", "parent", (F.col("weight") + F.coalesce("entering", F.lit(0))).alias("weight"))
+        counts = own.groupBy("piece").applyInPandas(_summed, "node string, below bigint")
+        if n:
+            counts = cut(counts)
+    return counts
 
 
 def edge_rows(nodes: DataFrame, with_path: bool) -> DataFrame:
-    """Edges of ``nodes`` (node, id, parent, grp, ordering), one per node; grp and ordering only say where to place them."""
+    """Edges of ``nodes`` (node, id, parent, grp, ordering, level), one per node; grp and ordering also say where to place them."""
+    spread = F.pmod(F.xxhash64("node"), F.lit(_SPREAD))
     return nodes.select(
         "node",
+        "id",
         "parent",
+        F.coalesce("grp", F.lit("")).alias("grp"),
+        F.when(F.col("grp").isNull(), spread).otherwise(F.coalesce(F.col("ordering").cast("bigint"), spread)).alias("pos"),
+        F.col("ordering").cast("bigint").alias("ordering"),
+        F.col("level").cast("bigint").alias("level"),
+        F.lit(1).cast("bigint").alias("weight"),
         F.lit(1).cast("bigint").alias("own"),
         F.col("id").alias("low"),
         F.col("id").alias("last"),
         (F.array("id") if with_path else F.lit(None).cast("array<string>")).alias("path"),
         F.lit(None).cast("string").alias("loop"),
-        F.coalesce("grp", F.lit("")).alias("grp"),
-        F.coalesce(F.col("ordering").cast("bigint"), F.pmod(F.xxhash64("node"), F.lit(64 * BLOCK))).alias("pos"),
-        "ordering",
     )
 
 
@@ -265,32 +287,29 @@ def hierarchy(nodes: DataFrame, cut, **sizes) -> DataFrame:
     Nodes of kind ``cut`` hang below a node whose parent is missing; their root is that node.  Nodes of kind ``loop``
     have no root, depth or path; root_id is null and loop_id the smallest id on the loop.
     """
-    answer, _ = solve(edge_rows(nodes, True), cut, **sizes)
-    answer = cut(answer)
-    below = answer.select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_descendants"))
+    levels = contracted(edge_rows(nodes, True), cut, **sizes)
     sound = F.col("kind") != "loop"
     return (
-        answer.join(nodes.select("node", "id"), "node")
-        .join(below, "id", "left")
+        _expanded(levels, cut)
+        .join(_counted(levels, cut), "node")
         .select(
             "id",
             "kind",
             F.when(sound, F.col("ref")).alias("root_id"),
             F.when(~sound, F.col("ref")).alias("loop_id"),
             F.when(sound, F.col("total")).alias("depth"),
-            "path",
-            F.when(sound, F.coalesce("n_descendants", F.lit(0))).alias("n_descendants"),
+            F.when(sound, F.col("path")).alias("path"),
+            F.when(sound, F.col("below") - 1).alias("n_descendants"),
         )
     )
 
 
 def descendants(nodes: DataFrame, cut, **sizes) -> DataFrame:
     """Every pair of a node and one below it: ancestor_id, descendant_id, distance.  As many rows as all depths summed."""
-    answer, _ = solve(edge_rows(nodes, True), cut, **sizes)
+    answer = solve(edge_rows(nodes, True), cut, **sizes).filter("kind <> 'loop'")
     far = F.size("path") - 1
     return (
-        answer.filter(F.col("path").isNotNull())
-        .select(F.element_at("path", -1).alias("descendant_id"), far.alias("depth"), F.posexplode("path").alias("at", "ancestor_id"))
+        answer.select(F.element_at("path", -1).alias("descendant_id"), far.alias("depth"), F.posexplode("path").alias("at", "ancestor_id"))
         .filter(F.col("at") < F.col("depth"))
         .select("ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
     )
@@ -302,23 +321,14 @@ def unsound(nodes: DataFrame, cut, **sizes) -> DataFrame:
     ``loop`` and ``cut`` name where the way up goes wrong, ``depth`` a root whose distance isn't the stated level,
     ``order`` a parent of the same group that stands at or behind its child.
     """
-    answer, first = solve(edge_rows(nodes, False), cut, **sizes)
-    answer = cut(answer)
-    placed = answer.join(nodes.select("node", "id", "level"), "node")
-    wrong_end = placed.filter((F.col("kind") != "root") | ~F.coalesce(F.col("total") == F.col("level"), F.lit(False))).select(
+    answer = cut(solve(edge_rows(nodes, False), cut, **sizes))
+    wrong_end = answer.filter((F.col("kind") != "root") | ~F.coalesce(F.col("total") == F.col("level"), F.lit(False))).select(
         "id", F.when(F.col("kind") == "root", "depth").otherwise(F.col("kind")).alias("kind"), F.col("ref").alias("ref_id")
     )
-    # Parents in the child's own fragment were compared there; only the chains' upper ends need a join.
-    inside = first.filter("late").select("node")
-    up = nodes.select(F.col("node").alias("parent"), F.col("grp").alias("p_grp"), F.col("ordering").alias("p_ordering"))
-    tops = nodes.join(first.filter("late is null").select("node"), "node", "left_semi").filter(F.col("parent").isNotNull())
-    outside = tops.join(up, "parent").filter((F.col("p_grp") == F.col("grp")) & (F.col("p_ordering") >= F.col("ordering"))).select("node")
-    late = (
-        inside.unionByName(outside)
-        .join(answer.filter("kind <> 'loop'").select("node"), "node", "left_semi")
-        .join(nodes.select("node", "parent"), "node")
-        .join(nodes.select(F.col("node").alias("parent"), F.col("id").alias("ref_id")), "parent")
-        .join(nodes.select("node", "id"), "node")
-        .select("id", F.lit("order").alias("kind"), "ref_id")
-    )
-    return wrong_end.unionByName(late)
+    # Parents in the child's own piece were compared there; only the pieces' upper ends need a join.
+    sound = answer.filter("kind <> 'loop'")
+    inside = sound.filter("late <> ''").select("id", F.lit("order").alias("kind"), F.col("late").alias("ref_id"))
+    tops = sound.filter("late is null and parent is not null and grp <> ''").select("id", "parent", "grp", "ordering")
+    up = answer.select(F.col("node").alias("parent"), F.col("id").alias("ref_id"), F.col("grp").alias("p_grp"), F.col("ordering").alias("p_ordering"))
+    outside = tops.join(up, "parent").filter((F.col("p_grp") == F.col("grp")) & (F.col("p_ordering") >= F.col("ordering"))).select("id", F.lit("order").alias("kind"), "ref_id")
+    return wrong_end.unionByName(inside).unionByName(outside)

@@ -110,12 +110,12 @@ cases AS (
 _P4 = f"""
 WITH RECURSIVE n AS (
   SELECT {_id("id")} AS k, min(id) AS id, min({_id("parent_id")}) AS p, min({_id("manual_id")}) AS m, min(ordering) AS o, min(level) AS l FROM bookmarks GROUP BY 1),
-up(k, cur, hops) AS (
-  SELECT k, k, 1 FROM n
-  UNION ALL SELECT up.k, n2.k, hops + 1 FROM up JOIN n n1 ON n1.k = up.cur JOIN n n2 ON n2.k = n1.p WHERE hops < 1000),
-far AS (SELECT k, max(hops) AS h FROM up GROUP BY k),
-ends AS (SELECT up.k, up.hops, n.id AS eid, n.p FROM up JOIN far ON far.k = up.k AND far.h = up.hops AND h < 1000 JOIN n ON n.k = up.cur),
-ring AS (SELECT up.k, min(n.id) AS rid FROM up JOIN far ON far.k = up.k AND h >= 1000 JOIN n ON n.k = up.cur WHERE hops > 500 GROUP BY up.k)
+up(k, cur, hops, way) AS (
+  SELECT k, k, 1, [k] FROM n
+  UNION ALL SELECT up.k, n2.k, hops + 1, list_append(way, n2.k) FROM up JOIN n n1 ON n1.k = up.cur JOIN n n2 ON n2.k = n1.p WHERE NOT list_contains(way, n2.k)),
+ends AS (SELECT up.k, up.hops, n.id AS eid, n.p FROM up JOIN n ON n.k = up.cur WHERE n.p IS NULL OR n.p NOT IN (SELECT k FROM n WHERE k IS NOT NULL)),
+turns AS (SELECT up.k, unnest(way[list_position(way, n.p):]) AS member FROM up JOIN n ON n.k = up.cur WHERE list_contains(way, n.p)),
+ring AS (SELECT turns.k, min(n.id) AS rid FROM turns JOIN n ON n.k = member GROUP BY 1)
 """
 
 SQL = {
@@ -127,7 +127,7 @@ SELECT n.id AS bookmark_id, 'loop' AS kind, rid AS ref_id FROM ring JOIN n USING
 UNION ALL SELECT n.id, 'cut', eid FROM ends JOIN n USING (k) WHERE ends.p IS NOT NULL
 UNION ALL SELECT n.id, 'depth', eid FROM ends JOIN n USING (k) WHERE ends.p IS NULL AND hops IS DISTINCT FROM n.l
 UNION ALL SELECT a.id, 'order', b.id FROM n a JOIN n b ON b.k = a.p AND b.m = a.m AND b.o >= a.o WHERE a.k IN (SELECT k FROM ends)""",
-    "p4_descendants": _P4 + "SELECT b.id AS ancestor_id, a.id AS descendant_id, hops - 1 AS distance FROM up JOIN ends USING (k) JOIN n a ON a.k = up.k JOIN n b ON b.k = up.cur WHERE up.hops > 1".replace("hops - 1", "up.hops - 1"),
+    "p4_descendants": _P4 + "SELECT b.id AS ancestor_id, a.id AS descendant_id, up.hops - 1 AS distance FROM up JOIN ends USING (k) JOIN n a ON a.k = up.k JOIN n b ON b.k = up.cur WHERE up.hops > 1",
     "p4_hierarchy": _P4
     + """,
 paths AS (SELECT up.k, string_agg(n.id, '/' ORDER BY up.hops DESC) AS path FROM up JOIN ends USING (k) JOIN n ON n.k = up.cur GROUP BY up.k),

@@ -41,16 +41,42 @@ def forest(seed, n=60):
 def test_against_walk(spark, seed, local_rows, block):
     rows = forest(seed)
     nodes = spark.createDataFrame(rows, SCHEMA)
-    answer, _ = H.solve(H.edge_rows(nodes, True), cut, local_rows=local_rows, block=block)
+    answer = H.solve(H.edge_rows(nodes, True), cut, local_rows=local_rows, block=block)
     got = {r.node: (r.kind, r.ref, r.total if r.kind != "loop" else None, list(r.path) if r.kind != "loop" else None) for r in answer.collect()}
     assert got == brute(rows)
 
 
-def test_jumps_alone(spark):
-    rows = forest(7, 40) + [(f"d{i:03d}", f"d{i:03d}", f"d{i - 1:03d}" if i else None, "g", i, 1) for i in range(50)]
-    edges = cut(H.edge_rows(spark.createDataFrame(rows, SCHEMA), True).drop("ordering"))
-    got = {r.node: (r.kind, r.ref, r.total if r.kind != "loop" else None, list(r.path) if r.kind != "loop" else None) for r in H._jumped(edges, len(rows), cut).collect()}
-    assert got == brute(rows)
+@pytest.mark.parametrize("local_rows", [1000, 5])
+def test_descendants_are_counted_upwards(spark, local_rows):
+    for seed in (11, 12):
+        rows = forest(seed, 80)
+        want = brute(rows)
+        below = {r[0]: sum(w[3] is not None and r[0] in w[3] for w in want.values()) - 1 for r in rows if want[r[0]][0] != "loop"}
+        got = H.hierarchy(spark.createDataFrame(rows, SCHEMA), cut, local_rows=local_rows, block=2).collect()
+        assert {r.id: r.n_descendants for r in got if r.kind != "loop"} == below
+
+
+def test_deep_chains_without_group(spark):
+    """No locality at all: a long chain, a loop, and their rows spread everywhere; rounds end by mating."""
+    rows = [(f"d{i:04d}", f"d{i:04d}", f"d{i - 1:04d}" if i else None, None, None, i + 1) for i in range(400)]
+    rows += [(f"l{i:03d}", f"l{i:03d}", f"l{(i + 1) % 90:03d}", None, 7, 1) for i in range(90)]
+    nodes = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {tuple(r) for r in H.unsound(nodes, cut, local_rows=60, block=1).collect()}
+    assert got == {(f"l{i:03d}", "loop", "l000") for i in range(90)}
+    h = {r.id: r for r in H.hierarchy(nodes, cut, local_rows=60, block=1).collect()}
+    assert all((h[f"d{i:04d}"].depth, h[f"d{i:04d}"].n_descendants, len(h[f"d{i:04d}"].path)) == (i + 1, 399 - i, i + 1) for i in range(400))
+
+
+def test_many_rows_without_group_stay_in_bounds(spark, monkeypatch):
+    """300,000 rows without manual id and a chain 20,000 deep: no piece holds more than its bound and one batch."""
+    n = spark.range(320_000)
+    key = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), 7, "0"))
+    chain = F.when(F.col("id") == 0, None).when(F.col("id") < 20_000, key(F.col("id") - 1)).otherwise(key(F.pmod(F.xxhash64("id"), F.lit(20_000))))
+    level = F.when(F.col("id") < 20_000, F.col("id") + 1).otherwise(F.pmod(F.xxhash64("id"), F.lit(20_000)) + 2)
+    nodes = n.select(key(F.col("id")).alias("node"), key(F.col("id")).alias("id"), chain.alias("parent"), F.lit(None).cast("string").alias("grp"), F.lit(3).cast("bigint").alias("ordering"), level.alias("level"))
+    first = H.contracted(H.edge_rows(nodes, False), cut, local_rows=25_000)[0][0]
+    assert first.groupBy("piece").count().agg(F.max("count")).first()[0] <= 25_000 + 10_000
+    assert H.unsound(nodes, cut, local_rows=25_000).count() == 0
 
 
 def test_unsound_and_hierarchy(spark):
