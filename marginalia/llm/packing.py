@@ -2,10 +2,16 @@
 
 Method: lexical retrieval packing.  Texts are tokenised once; their token ids are also the terms of a BM25 inverted index,
 which is sharded: every shard of some ``shard_tokens`` tokens indexes its own items, with document frequencies and lengths
-of the whole corpus (at most 65,536 numbers, as the vocabulary is bounded).  In a shard the longest unused item is the seed of a
-container; the index returns its best unused neighbours, and every one that fits is put in, the longest first, as short
-items are what fills gaps later.  What room is left goes to the longest unused items that fit, so little stays empty.  Containers that a shard leaves under ``full`` are taken apart
-again and packed in a next round over fewer shards, until one shard is left.
+of the whole corpus (at most 65,536 numbers, as the vocabulary is bounded).  Shards are made of items alike: items are
+ranged by their three terms of most weight, so a seed's neighbours in the whole corpus tend to lie in its own shard.  Ranges
+split wherever they must, also inside a crowd of copies, and a task fills one shard after the other.
+
+In a shard the longest unused item is the seed of a container; the index returns its best unused neighbours, and every one
+that fits is put in, the longest first, as short items are what fills gaps later.  What room is left goes to the longest
+unused items that fit, so little stays empty.  A seed asks with its ``query_terms`` terms of most weight and gets its
+``neighbours`` best answers: those are the top of a ranking, and no item is lost by them, as all others remain to be seeds,
+neighbours or fillings.  Containers that a shard leaves under ``full`` are taken apart again and packed in a next round
+over fewer shards, until one shard is left.
 
 An item over the capacity is cut into parts of exactly the capacity, which fill containers of their own, and a rest.
 
@@ -17,12 +23,14 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +43,7 @@ class Packing:
     shard_tokens: int = 600_000
     query_terms: int = 48  #: the seed's terms of most weight that make its query
     neighbours: int = 32  #: best neighbours of a seed, of which the longest that fit are put in first
+    partitions: int = 20_000  #: most tasks of a round; each fills as many shards as its range has
     full: float = 0.97
     k1: float = 1.2
     b: float = 0.75
@@ -43,8 +52,10 @@ class Packing:
 #: The split pattern that the vocabulary was made with (a fixed value of the public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict[str, object] = {}
-#: Longer texts are tokenised line by line in runs of this many characters, which keeps the time linear.
+#: Characters after which a longer text may be cut for tokenising, which keeps the time linear.
 _RUN = 200_000
+#: No token of the pattern spans the place between another character and white space, and none depends on what lies beyond it.
+_BREAK = re.compile(r"(?<=\S)(?=\s)")
 
 
 def encoder(how: Packing):
@@ -60,19 +71,13 @@ def encoder(how: Packing):
 
 
 def token_ids(text: str, enc) -> list[int]:
-    if len(text) <= _RUN:
-        return enc.encode_ordinary(text)
+    """Tokens of the whole text; long ones are cut only where no token can be cut."""
     out: list[int] = []
-    run: list[str] = []
-    size = 0
-    for line in text.splitlines(keepends=True):
-        for piece in (line[i : i + _RUN] for i in range(0, len(line), _RUN)):
-            run.append(piece)
-            size += len(piece)
-            if size >= _RUN:
-                out += enc.encode_ordinary("".join(run))
-                run, size = [], 0
-    return out + enc.encode_ordinary("".join(run))
+    start = 0
+    while len(text) - start > _RUN and (m := _BREAK.search(text, start + _RUN)):
+        out += enc.encode_ordinary(text[start : m.start()])
+        start = m.start()
+    return out + enc.encode_ordinary(text[start:] if start else text)
 
 
 _ITEM = "id bigint, part int, n_parts int, tokens int, terms binary"
@@ -158,23 +163,40 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean: floa
     return containers
 
 
+def _likeness(how: Packing, stats):
+    """Items with their three terms of most weight, most first, as a key: what is alike is near in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean = stats.value
+        for batch in batches:
+            keys = []
+            for raw in batch.column("terms").to_pylist():
+                term, tf = np.unique(np.frombuffer(raw, np.uint16), return_counts=True)
+                weight = idf[term] * tf * (how.k1 + 1) / (tf + how.k1 * (1 - how.b + how.b * len(raw) / 2 / max(mean, 1e-9)))
+                keys.append(term[np.argsort(-weight, kind="stable")[:3]].astype(">u2").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "part", "n_parts", "tokens", "terms")), pa.array(keys, pa.binary())], ["id", "part", "n_parts", "tokens", "terms", "near"])
+
+    return run
+
+
 _PLACED = "container_id string, container_tokens int, id bigint, part int, n_parts int, tokens int, terms binary"
 
 
 def _packed(how: Packing, stats, name: str, last: bool):
-    """Shards, one after the other in a partition, to placed items; underfilled containers have no id unless ``last``."""
+    """Ranges of items to placed items, shard by shard; underfilled containers have no id unless ``last``."""
 
-    def shard(k: int, t: pa.Table) -> pa.RecordBatch:
+    def shard(k: str, held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         idf, mean = stats.value
+        t = pa.Table.from_batches(held)
         sizes = t.column("tokens").to_numpy()
         terms = [np.frombuffer(x, np.uint16) for x in t.column("terms").to_pylist()]
         order, label, total = [], [], []
-        for c, held in enumerate(fill(sizes, terms, idf, mean, how)):
-            tokens = int(sizes[held].sum())
+        for c, one in enumerate(fill(sizes, terms, idf, mean, how)):
+            tokens = int(sizes[one].sum())
             done = last or tokens >= how.full * how.capacity
-            order += held
-            label += [f"{name}-{k}-{c}" if done else None] * len(held)
-            total += [tokens] * len(held)
+            order += one
+            label += [f"{name}-{k}-{c}" if done else None] * len(one)
+            total += [tokens] * len(one)
         rows = t.take(pa.array(order, pa.int64()))
         done = np.array([x is not None for x in label], bool)
         kept = pa.array([None if d else x for d, x in zip(done, rows.column("terms").to_pylist())], pa.binary())
@@ -182,20 +204,26 @@ def _packed(how: Packing, stats, name: str, last: bool):
         return pa.Table.from_arrays(cols, ["container_id", "container_tokens", "id", "part", "n_parts", "tokens", "terms"]).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        context = TaskContext.get()
+        task, k, tokens = context.partitionId() if context else 0, 0, 0
+        held: list[pa.RecordBatch] = []
+        # A range that is little over a shard stays one.
+        most = how.shard_tokens + how.shard_tokens // 2
         for batch in batches:
-            s = batch.column("shard").to_numpy()
-            if not len(s):
-                continue
-            cuts = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if held and s[a] != now:
-                    yield from shard(now, pa.Table.from_batches(held))
-                    held = []
-                now = int(s[a])
-                held.append(batch.slice(a, b - a))
+            sums = np.cumsum(batch.column("tokens").to_numpy().astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                done = int(sums[start - 1]) if start else 0
+                stop = max(start + (not held), int(np.searchsorted(sums, most - tokens + done, "right")))
+                if stop > start:
+                    held.append(batch.slice(start, stop - start))
+                    tokens += int(sums[stop - 1]) - done
+                if stop < batch.num_rows:
+                    yield from shard(f"{task}-{k}", held)
+                    held, tokens, k = [], 0, k + 1
+                start = stop
         if held:
-            yield from shard(now, pa.Table.from_batches(held))
+            yield from shard(f"{task}-{k}", held)
 
     return run
 
@@ -221,8 +249,12 @@ def pack(documents: DataFrame, cut, how: Packing = Packing(), rounds: int = 6) -
     for r in range(rounds):
         shards = max(1, -(-total // how.shard_tokens))
         last = shards == 1 or r == rounds - 1
-        key = F.pmod(F.xxhash64("id", "part", F.lit(r)), F.lit(shards)).cast("int")
-        placed = rest.withColumn("shard", key).repartition(int(min(shards, 4096)), "shard").sortWithinPartitions("shard", "id", "part")
+        keyed = rest.mapInArrow(_likeness(how, stats), f"{_ITEM}, near binary")
+        if shards > 1:
+            keyed = keyed.repartitionByRange(int(min(shards, how.partitions)), "near", F.xxhash64("id", "part"), "id", "part")
+        else:
+            keyed = keyed.coalesce(1)
+        placed = keyed.sortWithinPartitions("near", F.xxhash64("id", "part"), "id", "part").drop("near")
         placed = cut(placed.mapInArrow(_packed(how, stats, f"r{r}", last), _PLACED))
         done = done.unionByName(placed.filter(F.col("container_id").isNotNull()).select(*columns))
         if last:

@@ -111,6 +111,25 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_documents(spark, d), cut).withColumnRenamed("id", "doc_id")
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of all containers, in one row: the documents, and how many break a rule (none may).
+
+    over: containers over the capacity or with a wrong sum; lost: documents whose parts aren't each there once;
+    split: documents in several parts of which one but the last isn't a whole container; loose: containers under 97 %,
+    if they are more than one in fifty.
+    """
+    got = cut(p6_containers(spark, d))
+    boxes = got.filter("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("t"), F.max("container_tokens").alias("c"))
+    over = boxes.agg(F.count_if((F.col("t") > 4096) | (F.col("t") != F.col("c"))).alias("over"), F.when(F.count_if(F.col("t") < 0.97 * 4096) > F.count(F.lit(1)) / 50 + 1, 1).otherwise(0).alias("loose"))
+    texts = got.groupBy("doc_id").agg(
+        ((F.count(F.lit(1)) != F.max("n_parts")) | (F.countDistinct("part") != F.max("n_parts")) | (F.max("part") + 1 != F.max("n_parts"))).alias("lost"),
+        F.max((F.col("part") + 1 < F.col("n_parts")) & (F.col("tokens") != 4096)).alias("split"),
+    )
+    sums = texts.agg(F.count(F.lit(1)).alias("documents"), F.count_if("lost").alias("lost"), F.count_if("split").alias("split"))
+    # One row each.
+    return sums.crossJoin(F.broadcast(over)).select("documents", "over", "lost", "split", F.col("loose").cast("bigint"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share 40 successive characters with an evaluation item: doc_id, item_id."""
     return leaks.leaks(_documents(spark, d), _items(spark, d)).filter("exact_chars >= 40").select("doc_id", "item_id")
@@ -126,7 +145,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p5_joints, p6_containers, p7_found, p7_leaks, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p5_joints, p6_containers, p6_checks, p7_found, p7_leaks, p8_found)}
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
 #: Copies up to which a class is given in all pairs.
@@ -180,4 +199,5 @@ FROM s WHERE length(x) > m""",
 WITH r AS (SELECT 'chunks' AS t, id, document AS x, 2000 AS m FROM chunks UNION ALL SELECT 'bookmarks', id, title, 120 FROM bookmarks),
 s AS (SELECT DISTINCT t, id, m, regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS x FROM r)
 SELECT t AS table_name, id AS record_id, length(regexp_replace(x, '[{_WS}]', '', 'g')) AS letters, TRUE AS within_limit, TRUE AS overlaps_whole FROM s WHERE length(x) > m""",
+    "p6_checks": "SELECT count(*) AS documents, 0::BIGINT AS over, 0::BIGINT AS lost, 0::BIGINT AS split, 0::BIGINT AS loose FROM documents",
 }
