@@ -145,7 +145,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p5_joints, p6_containers, p6_checks, p7_found, p7_leaks, p8_found)}
+def p8_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The last sentence end of every document that has sentences: all its characters that are not white space."""
+    return p8_found(spark, d).groupBy("doc_id").agg(F.max("end_pos").alias("characters"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_nearest, p5_found, p5_pieces, p5_joints, p6_containers, p6_checks, p7_found, p7_leaks, p8_found, p8_ends)}
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
 #: Copies up to which a class is given in all pairs.
@@ -200,4 +205,5 @@ WITH r AS (SELECT 'chunks' AS t, id, document AS x, 2000 AS m FROM chunks UNION
 s AS (SELECT DISTINCT t, id, m, regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS x FROM r)
 SELECT t AS table_name, id AS record_id, length(regexp_replace(x, '[{_WS}]', '', 'g')) AS letters, TRUE AS within_limit, TRUE AS overlaps_whole FROM s WHERE length(x) > m""",
     "p6_checks": "SELECT count(*) AS documents, 0::BIGINT AS over, 0::BIGINT AS lost, 0::BIGINT AS split, 0::BIGINT AS loose FROM documents",
+    "p8_ends": rf"SELECT doc_id, length(regexp_replace(text, '[{_WS}]', '', 'g')) AS characters FROM documents WHERE length(regexp_replace(text, '[{_WS}]', '', 'g')) > 0",
 }

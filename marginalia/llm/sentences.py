@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,17 +72,29 @@ def _trie(words: list[str], value: int, root: dict) -> dict:
     return root
 
 
-_ABBREVIATIONS = _trie(MAY, 2, _trie([w for w in NEVER if not w.endswith(".")], 1, {}))
+class Abbreviations:
+    """Abbreviations as a trie, read backwards from the dot.
 
+    The lists cover English, German and French as far as technical prose has them; pass others for other texts.
+    ``never`` close a sentence, ``may`` close one; those of ``also_words`` do if they stand as a word.
+    """
 
-def _abbreviation(text: str, dot: int) -> tuple[int, str]:
+    def __init__(self, never: Sequence[str] = NEVER, may: Sequence[str] = MAY, also_words: Sequence[str] = ("no", "nos")) -> None:
+        self.also_words = frozenset(also_words)
+        self.trie = _trie(list(may), 2, _trie([w for w in never if not w.endswith(".")], 1, {}))
+
+
+KNOWN = Abbreviations()
+
+
+def _abbreviation(text: str, dot: int, trie: dict) -> tuple[int, str]:
     """1 for an abbreviation that never closes a sentence, 2 for one that may, 0 for none; and the word before the dot."""
     i, word = dot - 1, []
     while i >= 0 and (text[i].isalnum() or text[i] in DOTS or text[i] in "_/-­​‌‍⁠﻿" or unicodedata.category(text[i])[0] == "M"):
         if text[i] not in _SKIP:
             word.append(text[i])
         i -= 1
-    node, kind = _ABBREVIATIONS, 0
+    node, kind = trie, 0
     for c in word:
         node = node.get(c.lower())
         if node is None:
@@ -108,8 +120,8 @@ def _script(c: str) -> str:
 class Automaton:
     """Reads one block and keeps the ends of its sentences, as positions after their last character."""
 
-    def __init__(self, text: str) -> None:
-        self.text, self.ends, self.start = text, [], 0
+    def __init__(self, text: str, known: Abbreviations = KNOWN) -> None:
+        self.text, self.known, self.ends, self.start = text, known, [], 0
         self.marks = [(m.start(), m.group()) for m in _MARK.finditer(text)]
         self.partner = self._partners()
 
@@ -212,7 +224,7 @@ class Automaton:
         before = self._previous(at - 1)
         if not before or "ऀ" <= before <= "ॿ":
             return None
-        kind, word = _abbreviation(self.text, at)
+        kind, word = _abbreviation(self.text, at, self.known.trie)
         if not gap:
             # Without white space only a capital after a word or a number, or another script, begins a sentence.
             if c.isupper() and kind != 1 and len(word) > 1 and (before.islower() or before.isdigit() or self.text[nxt + 1 : nxt + 2].islower()):
@@ -223,7 +235,8 @@ class Automaton:
             elif c in PAIRS and not kind:
                 return self._end(end)
             return None
-        if kind == 1 and not (word.lower() in ("no", "nos", "art", "d", "h", "b", "s", "v", "m", "ex", "ch", "str", "st") and self._closing(word, c)):
+        # Abbreviations that are words too: ``no`` closes a sentence unless a number follows.
+        if kind == 1 and not (word in self.known.also_words and not c.isdigit()):
             return None
         if kind == 2:
             return self._end(end) if self._begins(nxt) and not c.isdigit() else None
@@ -233,11 +246,6 @@ class Automaton:
             return None
         return self._end(end)
 
-    @staticmethod
-    def _closing(word: str, c: str) -> bool:
-        """Abbreviations that are words too: ``no`` closes a sentence unless a number follows."""
-        return word.lower() in ("no", "nos") and not c.isdigit() and word.islower()
-
     def _ordinal(self, number: int, c: str) -> bool:
         if c.islower():
             return True
@@ -253,7 +261,7 @@ class Automaton:
         nxt = self._next(at + 1)
         if nxt >= len(self.text):
             return self._end(at + 1)
-        if last in DOTS and _abbreviation(self.text, self.text.rindex(last, 0, at))[0] == 1:
+        if last in DOTS and _abbreviation(self.text, self.text.rindex(last, 0, at), self.known.trie)[0] == 1:
             return None
         c = self.text[nxt]
         if c in CLOSERS or c in ",;:，、；：.．。!?！？…-–—" or c in _CARRY_ON:
@@ -269,7 +277,7 @@ class Automaton:
         return self._end(at + 1)
 
 
-def sentence_ends(text: str) -> list[int]:
+def sentence_ends(text: str, known: Abbreviations = KNOWN) -> list[int]:
     """Ends of the sentences of ``text``, each as the number of characters up to it that are not white space."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     solid = np.concatenate([[0], np.cumsum(~np.isin(codes, np.array([ord(c) for c in WS_CHARS], np.uint32)))])
@@ -287,18 +295,18 @@ def sentence_ends(text: str) -> list[int]:
         for a, b in zip(edges, edges[1:]):
             ends.add(int(solid[lo + b]))
             if a not in starts:
-                ends.update(int(solid[lo + a + e]) for e in Automaton(block[a:b]).run())
+                ends.update(int(solid[lo + a + e]) for e in Automaton(block[a:b], known).run())
     return sorted(ends - {0})
 
 
-def sentences(documents: DataFrame, with_text: bool = False) -> DataFrame:
+def sentences(documents: DataFrame, with_text: bool = False, known: Abbreviations = KNOWN) -> DataFrame:
     """``documents`` (id, text) to one row per sentence: id and end_pos, and with ``with_text`` the sentence itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ends, texts = [], [], []
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sentence_ends(text)
+                found = sentence_ends(text, known)
                 ids += [id_] * len(found)
                 ends += found
                 if with_text:

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marginalia.functions.identifiers import WS_CHARS
-from marginalia.llm.sentences import sentence_ends, sentences
+from marginalia.llm.sentences import Abbreviations, sentence_ends, sentences
 
 
 def cut_up(text):
@@ -58,3 +58,11 @@ def test_table(spark):
     got = sentences(spark.createDataFrame(rows, "id bigint, text string, end_pos string")).collect()
     assert {(r.id, r.end_pos) for r in got if r.id == 1} == {(1, 4), (1, 8)} and {r.id for r in got} == {1, 5}
     assert sentences(spark.createDataFrame([], "id bigint, text string"), True).count() == 0
+
+
+def test_abbreviations_are_a_parameter():
+    text = "The approx. Value of the zzq. Unit is low. No. 5 is no. That ends."
+    default, own = sentence_ends(text), sentence_ends(text, Abbreviations(never=["zzq"]))
+    ends = {len(x.replace(" ", "")) for x in ("The approx. Value of the zzq.", "The approx. Value of the zzq. Unit is low.", text[: text.index(" That")], text)}
+    assert set(default) == ends
+    assert len("Theapprox.") in own and len("Theapprox.Valueofthezzq.") not in own
