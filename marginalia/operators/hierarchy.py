@@ -253,8 +253,11 @@ def _counted(levels: list[tuple[DataFrame, int]], cut) -> DataFrame:
     return counts
 
 
-def edge_rows(nodes: DataFrame, with_path: bool) -> DataFrame:
-    """Edges of ``nodes`` (node, id, parent, grp, ordering, level), one per node; grp and ordering also say where to place them."""
+def edge_rows(nodes: DataFrame, with_path: bool, step: str = "id") -> DataFrame:
+    """Edges of ``nodes`` (node, id, parent, grp, ordering, level), one per node; grp and ordering also say where to place them.
+
+    Paths are made of the column ``step``.
+    """
     spread = F.pmod(F.xxhash64("node"), F.lit(_SPREAD))
     return nodes.select(
         "node",
@@ -268,7 +271,7 @@ def edge_rows(nodes: DataFrame, with_path: bool) -> DataFrame:
         F.lit(1).cast("bigint").alias("own"),
         F.col("id").alias("low"),
         F.col("id").alias("last"),
-        (F.array("id") if with_path else F.lit(None).cast("array<string>")).alias("path"),
+        (F.array(step) if with_path else F.lit(None).cast("array<string>")).alias("path"),
         F.lit(None).cast("string").alias("loop"),
     )
 

@@ -116,6 +116,33 @@ def plan_parts(files: DataFrame, split_pages: int) -> DataFrame:
     return sized.select("relative_path", "part", start.alias("start_page"), (start + base + F.when(F.col("part") < extra, 1).otherwise(0) - 1).alias("end_page"))
 
 
+def numbered(rows: DataFrame, cut, *order) -> DataFrame:
+    """``rows`` with ``n``, their place (from 1) in the order, by ranges: no task ever sorts more than its own range."""
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    # One row per partition.
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_p").withColumn("n", F.col("_start") + F.col("_i") - F.col("_first") + 1).drop("_p", "_i", "_first", "_start")
+
+
+def waves(rows: DataFrame, cut, count: int, *order) -> DataFrame:
+    """``rows`` in ``count`` waves of even size in the order: the first ones have one more where they don't divide."""
+    placed = numbered(rows, cut, *order)
+    total = rows.count()
+    size, more = divmod(total, count)
+    # The first ``more`` waves have size + 1 rows.
+    wave = F.when(F.col("n") <= more * (size + 1), F.ceil(F.col("n") / (size + 1))).otherwise(more + F.ceil((F.col("n") - more * (size + 1)) / max(size, 1)))
+    return placed.withColumn("wave", wave.cast("int")).drop("n")
+
+
+def changed(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """Keys whose ``value`` isn't the same in all rows, with its first and last: key, old, new.  Aggregates only."""
+    at = F.struct(*order, value)
+    g = rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, at).alias("old"), F.max_by(value, at).alias("new"), F.min(value).alias("_a"), F.max(value).alias("_b"))
+    return g.filter("_a <> _b").drop("_a", "_b")
+
+
 def merge_parts(parts: DataFrame) -> DataFrame:
     """Picture offsets of parts (doc, start_page, n_pictures): pictures in all earlier parts of the document."""
     before = Window.partitionBy("doc").orderBy("start_page").rowsBetween(Window.unboundedPreceding, -1)

@@ -32,18 +32,36 @@ def parents_from_levels(marks: DataFrame, strict: bool = False) -> DataFrame:
     return found.select("id", parent.alias("parent"))
 
 
-def subtree_bounds(marks: DataFrame) -> DataFrame:
-    """id, manual_id, lo and hi: the subtree of a bookmark is lo <= ordering < hi (hi null: to the end).
+def subtrees(marks: DataFrame) -> DataFrame:
+    """id, manual_id, lo, hi, n and deepest: the subtree of a bookmark is lo <= ordering < hi (hi null: to the end).
 
-    hi is the first later ordering of the same or a smaller level.
+    hi is the first later ordering of the same or a smaller level; n counts the subtree's bookmarks and deepest is its
+    greatest level (null levels aside), both 0 where the subtree is empty because the next bookmark has the same ordering.
+    Everything is running aggregates over a manual's bookmarks, read backwards: nothing is joined.
     """
-    later = Window.partitionBy("manual_id").orderBy(F.desc("ordering"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    # Descending by ordering the nearest later mark of a level is the last one seen: its ordering is the minimum.
-    nexts = [F.struct(F.lit(n).alias("lv"), F.min(F.when(F.col("level") == n, F.col("ordering"))).over(later).alias("o")) for n in _levels(marks)]
-    none = F.lit(None).cast("struct<lv:int,o:int>")
-    seen = marks.select("id", "manual_id", "level", F.col("ordering").alias("lo"), F.array(*(nexts or [none])).alias("nexts"))
-    reach = F.transform(F.filter("nexts", lambda x: x["lv"] <= F.col("level")), lambda x: x["o"])
-    return seen.select("id", "manual_id", "lo", F.array_min(reach).alias("hi"))
+    backwards = Window.partitionBy("manual_id").orderBy(F.desc("ordering"), F.desc("id"))
+    later = backwards.rowsBetween(Window.unboundedPreceding, -1)
+    from_here = Window.partitionBy("manual_id").orderBy(F.desc("ordering")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marks.select("id", "manual_id", "level", "ordering", F.count(F.lit(1)).over(from_here).alias("behind"))
+    # Read backwards, the nearest later mark of a level is the last one seen: its ordering is the minimum.
+    levels = _levels(marks)
+    nexts = [F.struct(F.lit(n).alias("lv"), F.min(F.when(F.col("level") == n, F.struct("ordering", "behind"))).over(later).alias("at")) for n in levels]
+    # First ordering of each level from the own ordering on, bookmarks at the same ordering included.
+    first = [F.struct(F.lit(n).alias("lv"), F.min(F.when(F.col("level") == n, F.col("ordering"))).over(from_here).alias("o")) for n in levels]
+    none = F.lit(None).cast("struct<lv:int,at:struct<ordering:int,behind:bigint>>")
+    seen = counted.select("id", "manual_id", "level", "behind", F.col("ordering").alias("lo"), F.array(*(nexts or [none])).alias("nexts"), F.array(*(first or [F.lit(None).cast("struct<lv:int,o:int>")])).alias("first"))
+    reach = F.array_min(F.transform(F.filter("nexts", lambda x: x["lv"] <= F.col("level")), lambda x: x["at"]))
+    bounded = seen.withColumn("end", reach).withColumn("hi", F.col("end.ordering"))
+    inside = F.filter("first", lambda x: (x["o"] >= F.col("lo")) & (F.col("hi").isNull() | (x["o"] < F.col("hi"))))
+    n = F.col("behind") - F.coalesce(F.col("end.behind"), F.lit(0))
+    return bounded.select(
+        "id", "manual_id", "lo", "hi", F.greatest(n, F.lit(0)).alias("n"), F.coalesce(F.array_max(F.transform(inside, lambda x: x["lv"])), F.lit(0)).alias("deepest")
+    )
+
+
+def subtree_bounds(marks: DataFrame) -> DataFrame:
+    """id, manual_id, lo and hi of every bookmark: see ``subtrees``."""
+    return subtrees(marks).select("id", "manual_id", "lo", "hi")
 
 
 # Section numbers before a title, and what is trimmed from its ends.
@@ -64,12 +82,22 @@ def asof_bookmark(items: DataFrame, marks: DataFrame) -> DataFrame:
     """The bookmark in effect at an item by position: on its page, the lowest of those that start above it, give or take 10 points.
 
     ``items`` (manual_id, page, item_id, top) and ``marks`` (manual_id, page_num, id, page_top, ordering).  An unknown top
-    counts as -1.  An aggregate with a bounded state per item: nothing is sorted.
+    counts as -1.  An as-of join by one sort: items and bookmarks of a page are read downwards together, and an item takes the
+    last bookmark seen; no pairs are made, however full a page is.
     """
-    m = marks.select("manual_id", F.col("page_num").alias("page"), F.col("id").alias("bookmark_id"), F.coalesce("page_top", F.lit(-1.0)).alias("bm_top"), "ordering")
-    near = items.join(m, ["manual_id", "page"]).filter(F.col("top") < F.col("bm_top") + TOLERANCE)
-    pick = F.min(F.struct("bm_top", (-F.col("ordering")).alias("o"), "bookmark_id"))
-    return near.groupBy("item_id").agg(pick.alias("p")).select("item_id", F.col("p.bookmark_id").alias("bookmark_id"))
+    none = F.lit(None)
+    seen = marks.select(
+        "manual_id", F.col("page_num").alias("page"), F.coalesce("page_top", F.lit(-1.0)).alias("at"), F.lit(1).alias("is_mark"), F.col("ordering").cast("bigint").alias("o"),
+        F.col("id").alias("bookmark_id"), none.alias("item_id"),
+    )
+    asked = items.filter(F.col("top").isNotNull()).select(
+        "manual_id", "page", (F.col("top") - TOLERANCE).alias("at"), F.lit(0).alias("is_mark"), none.cast("bigint").alias("o"), none.cast("string").alias("bookmark_id"), "item_id"
+    )
+    # At equal heights an item comes first, as a bookmark must start above it; of equal bookmarks the last in order counts.
+    down = Window.partitionBy("manual_id", "page").orderBy(F.desc("at"), "is_mark", "o", F.desc("bookmark_id")).rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(seen).filter(F.col("manual_id").isNotNull() & F.col("page").isNotNull())
+    carried = both.withColumn("carried", F.last("bookmark_id", ignorenulls=True).over(down))
+    return carried.filter(F.col("is_mark") == 0).filter(F.col("carried").isNotNull()).select("item_id", F.col("carried").alias("bookmark_id"))
 
 
 def heading_match(items: DataFrame, marks: DataFrame) -> DataFrame:

@@ -79,13 +79,10 @@ def content_hash(s, d):
     return table(s, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("WITH o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY updated_at, file_hash) AS n, file_hash FROM manuals), w AS (SELECT a.id, a.file_hash AS old, b.file_hash AS new FROM o a JOIN o b USING (id) WHERE a.n = 1 AND b.n = 2) SELECT * FROM w WHERE old <> new")
+@query("SELECT id, arg_min(file_hash, struct_pack(u := updated_at, h := file_hash)) AS old, arg_max(file_hash, struct_pack(u := updated_at, h := file_hash)) AS new FROM manuals WHERE file_hash IS NOT NULL GROUP BY id HAVING count(DISTINCT file_hash) > 1")
 def changed_files(s, d):
-    """Manuals whose second sync found another hash than the first."""
-    # Two smallest rows of a manual by a bounded aggregate, not by a window over all of its rows.
-    two = F.slice(F.array_sort(F.collect_list(F.struct("updated_at", "file_hash"))), 1, 2)
-    g = table(s, d, "manuals").groupBy("id").agg(two.alias("x")).filter(F.size("x") == 2)
-    return g.select("id", c("x")[0]["file_hash"].alias("old"), c("x")[1]["file_hash"].alias("new")).filter("old <> new")
+    """Manuals whose hash changed at any sync, with the first and the last one."""
+    return L.changed(table(s, d, "manuals"), "id", "file_hash", "updated_at")
 
 
 SYNC = """k AS (SELECT relative_path, min(file_hash) AS old FROM (SELECT relative_path, file_hash FROM manuals WHERE updated_at < TIMESTAMPTZ '2025-01-01 00:00:00+00') GROUP BY 1),
@@ -230,11 +227,11 @@ def merge_parts(s, d):
 
 @query(f"WITH {M} SELECT id, page_count, ntile(8) OVER (ORDER BY page_count DESC, id) AS wave FROM m")
 def lpt_order(s, d):
-    """Longest first: eight waves of files by size.  Manuals number a document each; the ranking is over their keys only."""
-    return manuals(s, d).select("id", "page_count", F.ntile(8).over(Window.orderBy(F.desc("page_count"), "id")).alias("wave"))
+    """Longest first: eight waves of files by size."""
+    return L.waves(manuals(s, d).select("id", "page_count"), cut, 8, F.desc_nulls_first("page_count"), c("id"))
 
 
-@query()
+@query(f"SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT id, sha1(unhex('{NAMESPACE}') || encode(id)) AS h FROM (SELECT DISTINCT id FROM chunks))")
 def point_id(s, d):
     return table(s, d, "chunks").select("id").distinct().withColumn("point_id", L.point_id(c("id"), NAMESPACE))
 
@@ -328,24 +325,19 @@ def toc(s, d):
 @query(f"WITH {B} SELECT a.id, count(DISTINCT q.id) AS n, coalesce(max(q.level), 0) AS deepest FROM b a LEFT JOIN b q ON q.manual_id = a.manual_id AND q.ordering >= a.ordering AND q.ordering < coalesce((SELECT min(z.ordering) FROM b z WHERE z.manual_id = a.manual_id AND (z.ordering, z.id) > (a.ordering, a.id) AND z.level <= a.level), 2147483647) GROUP BY 1")
 def subtree(s, d):
     """Size and depth of every bookmark's subtree, the bookmark included."""
-    b = marks(s, d)
-    lo = O.subtree_bounds(b)
-    inside = lo.join(b.select("manual_id", c("id").alias("sub"), "ordering", "level"), "manual_id").filter((c("ordering") >= c("lo")) & (c("hi").isNull() | (c("ordering") < c("hi"))))
-    n = inside.groupBy("id").agg(F.countDistinct("sub").alias("n"), F.max("level").alias("deepest"))
-    return lo.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("deepest", F.lit(0)).alias("deepest"))
+    return O.subtrees(marks(s, d)).select("id", "n", "deepest")
 
 
-@query(f"WITH RECURSIVE {B}, n AS (SELECT {T.key('id')} AS k, {T.key('parent_id')} AS p, title, id FROM b), up(k, cur, h) AS (SELECT k, k, 1 FROM n UNION ALL SELECT up.k, q.k, h + 1 FROM up JOIN n x ON x.k = up.cur JOIN n q ON q.k = x.p WHERE h < 1000), far AS (SELECT k, max(h) AS h FROM up GROUP BY k) SELECT n.id, string_agg(t.title, ' > ' ORDER BY up.h DESC) AS path FROM up JOIN far ON far.k = up.k AND far.h < 1000 JOIN n t ON t.k = up.cur JOIN n ON n.k = up.k GROUP BY n.id")
+@query(f"WITH RECURSIVE {B}, n AS (SELECT {T.key('id')} AS k, {T.key('parent_id')} AS p, title, id FROM b), up(k, cur, h, way) AS (SELECT k, k, 1, [k] FROM n UNION ALL SELECT up.k, q.k, h + 1, list_append(way, q.k) FROM up JOIN n x ON x.k = up.cur JOIN n q ON q.k = x.p WHERE NOT list_contains(way, q.k)), ends AS (SELECT up.k FROM up JOIN n ON n.k = up.cur WHERE n.p IS NULL OR n.p NOT IN (SELECT k FROM n)) SELECT n.id, string_agg(t.title, ' > ' ORDER BY up.h DESC) AS path FROM up JOIN ends USING (k) JOIN n t ON t.k = up.cur JOIN n ON n.k = up.k GROUP BY n.id")
 def bookmark_path(s, d):
     """Titles from the root down to every bookmark that has a root."""
     from marginalia.operators import hierarchy as H
 
     b = marks(s, d)
     nodes = H.nodes_of(b, id_key(c("id")), c("id"), id_key(c("parent_id")), id_key(c("manual_id")), c("ordering"), c("level"))
-    paths = H.solve(H.edge_rows(nodes, True), cut)[0].filter("path is not null")
-    steps = paths.select(F.element_at("path", -1).alias("leaf"), F.posexplode("path").alias("n", "id")).join(b.select("id", "title"), "id")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]), " > ")
-    return steps.groupBy("leaf").agg(whole.alias("path")).withColumnRenamed("leaf", "id")
+    titled = nodes.join(b.select("id", "title"), "id")
+    # Titles, not ids, make the paths: they travel with the expansion.
+    return H.solve(H.edge_rows(titled, True, "title"), cut).filter("kind <> 'loop'").select("id", F.array_join("path", " > ").alias("path"))
 
 
 NORM = r"regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(coalesce(X, ''), W)), '^(?:\d+(?:[.\-]\d+)*[.)]?|[ivxlcdm]+[.)]|[a-z][.)])[\s\x{A0}\x{202F}\x{3000}]+', ''), '[\s\x{A0}\x{202F}\x{3000}]+', ' ', 'g'), ENDS), '^$', '')"
@@ -402,10 +394,10 @@ def section_text(s, d):
     return r.groupBy("manual_id", "run").agg(whole.alias("text"))
 
 
-@query(f"WITH {FG}, z AS (SELECT {T.key('manual_id')} AS manual_id, round_even(width / 100.0, 0)::INT AS w, round_even(height / 100.0, 0)::INT AS h, (width / 100.0) * (height / 100.0) AS area FROM f) SELECT manual_id, w, h, count(*) AS n FROM z WHERE area > 0 AND area <= 675 GROUP BY 1, 2, 3 HAVING count(*) >= 10")
+@query(f"WITH {FG}, z AS (SELECT {T.key('manual_id')} AS manual_id, round_even(12.5 + width % 3, 0)::INT AS w, round_even(8.5 + height % 2, 0)::INT AS h, (12.5 + width % 3) * (8.5 + height % 2) AS area FROM f) SELECT manual_id, w, h, count(*) AS n FROM z WHERE area > 0 AND area <= 675 GROUP BY 1, 2, 3 HAVING count(*) >= 10")
 def marker_shapes(s, d):
-    """Shapes that repeat; stored sizes are read at a hundredth, so that some are as small as markers."""
-    return C.marker_shapes(figures(s, d).select(id_key(c("manual_id")).alias("manual_id"), (c("width") / 100.0).alias("w"), (c("height") / 100.0).alias("h")))
+    """Shapes that repeat; the tables' pictures are large, so remainders of their sizes stand for those of markers."""
+    return C.marker_shapes(figures(s, d).select(id_key(c("manual_id")).alias("manual_id"), (c("width") % 3 + 12.5).alias("w"), (c("height") % 2 + 8.5).alias("h")))
 
 
 @query(f"WITH {IT}, g AS (SELECT manual_id, seq, label = 'picture' AS k, text, sum(CASE WHEN label = 'picture' THEN 0 ELSE 1 END) OVER (PARTITION BY manual_id ORDER BY seq DESC)::BIGINT AS isl FROM it) SELECT manual_id, 0 AS run, max(seq) AS seq, string_agg(CASE WHEN k THEN '[' || text || ']' ELSE text END, ' ' ORDER BY seq) AS text FROM g GROUP BY manual_id, isl")

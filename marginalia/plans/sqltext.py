@@ -38,7 +38,7 @@ post AS (SELECT chunk_id, manual_id, term, dl, count(*) AS tf FROM one GROUP BY
 cs AS (SELECT count(*) AS n_docs, coalesce(sum(len(t)), 0)::BIGINT AS total_tokens FROM tk),
 ts AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 gate AS (SELECT term, df FROM ts, cs WHERE term IN ({names}) AND df <= greatest(25, floor(n_docs * {ratio}))),
-scope AS (SELECT DISTINCT lower(id) AS id FROM manuals WHERE relative_path LIKE 'Tarvel%' ORDER BY 1 LIMIT 5),
+scope AS (SELECT DISTINCT lower(id) AS id FROM manuals WHERE relative_path LIKE 'Tarvel%'),
 part AS (SELECT chunk_id, manual_id, (CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END)
   * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total_tokens / n_docs))) AS s FROM post JOIN gate USING (term), cs),
 score AS (SELECT chunk_id, round(sum(s), 6) AS score FROM part GROUP BY chunk_id),
