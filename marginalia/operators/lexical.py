@@ -61,14 +61,16 @@ def gate(stats: DataFrame, corpus: DataFrame, terms: Sequence[str], ratio: float
     return wanted.crossJoin(F.broadcast(corpus)).filter(F.col("df") <= F.greatest(F.lit(MIN_DF), F.floor(F.col("n_docs") * ratio))).select("term", "df")
 
 
-def bm25(posts: DataFrame, corpus: DataFrame, terms: Sequence[str], manuals: Sequence[str] | DataFrame | None = None, ratio: float = MAX_DF_RATIO) -> DataFrame:
+def bm25(posts: DataFrame, corpus: DataFrame, terms: Sequence[str], manuals: Sequence[str] | DataFrame | None = None, ratio: float = MAX_DF_RATIO, stats: DataFrame | None = None) -> DataFrame:
     """chunk_id and score of every chunk with a gated term.  Statistics are the whole corpus's, also under a manual filter.
 
+    ``stats`` are stored term statistics; without them the postings of the terms are counted.
+
     ``manuals`` is a short list of ids, or rows of any number with manual_id.  Terms that differ only in case are counted as often as they stand in the query.
     """
     times = {t.lower(): sum(x.lower() == t.lower() for x in terms) for t in terms}
     hits = posts.filter(F.col("term").isin(list(times)))
-    rare = gate(term_stats(hits), corpus, list(times), ratio)
+    rare = gate(term_stats(hits) if stats is None else stats, corpus, list(times), ratio)
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in times.items() for x in kv])[F.col("term")], F.lit(1)) if times else F.lit(1)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)

@@ -32,6 +32,21 @@ def parents_from_levels(marks: DataFrame, strict: bool = False) -> DataFrame:
     return found.select("id", parent.alias("parent"))
 
 
+def ancestors(marks: DataFrame) -> DataFrame:
+    """id and ancestor: every bookmark with each one above it by levels.  As many rows as there are, no join.
+
+    Above a bookmark stands, of every smaller level, the last one before it, unless a bookmark of a still smaller level
+    came after that.
+    """
+    before = Window.partitionBy("manual_id").orderBy("ordering", "id").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = [F.max(F.when(F.col("level") == n, F.struct("ordering", "id", F.lit(n).alias("lv")))).over(before) for n in _levels(marks)]
+    none = F.lit(None).cast("struct<ordering:int,id:string,lv:int>")
+    seen = marks.select("id", F.col("level").alias("lv"), F.array(*(lasts or [none])).alias("lasts"))
+    known = seen.select("id", F.filter("lasts", lambda x: x.isNotNull() & (x["lv"] < F.col("lv"))).alias("lasts"))
+    later = lambda x: F.exists("lasts", lambda y: (y["lv"] < x["lv"]) & (F.struct(y["ordering"], y["id"]) > F.struct(x["ordering"], x["id"])))
+    return known.select("id", F.explode(F.filter("lasts", lambda x: ~later(x))).alias("a")).select("id", F.col("a.id").alias("ancestor"))
+
+
 def subtrees(marks: DataFrame) -> DataFrame:
     """id, manual_id, lo, hi, n and deepest: the subtree of a bookmark is lo <= ordering < hi (hi null: to the end).
 

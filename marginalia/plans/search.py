@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.identifiers import id_key
-from marginalia.operators import fusion, lexical, outline, vectors
+from marginalia.operators import fusion, lexical, outline, search, vectors
 from marginalia.plans import sqltext as T
-from marginalia.runtime import table
+from marginalia.runtime import checkpoint_dir, stamp, table
+from marginalia.sources.lexical_store import LexicalStore
 
 #: The queries of the search plans.
 TEXT = "which rotor purges the throttled flange near Broglex, message FNU6092I"
 TERMS = ["rotor", "purges", "flange", "magazine", "skips", "encoder"]
 RATIO = 0.2
+#: Path pattern of the scoped search.
+SCOPE = "Tarvel OS/*"
 
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +49,14 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
     return table(spark, d, "embeddings").orderBy("vec_id").limit(1).select("embedding").first()[0]
 
 
+def stored_index(spark: SparkSession, d: str) -> LexicalStore:
+    """The stored index of the chunks as they are now; made if there is none yet."""
+    store = LexicalStore(spark, f"{checkpoint_dir(spark)}/lexical-{stamp(spark, d, 'chunks')}")
+    if not store.exists():
+        store.create(index_rows(spark, d))
+    return store
+
+
 def build_postings(spark, d):
     return lexical.postings(index_rows(spark, d))
 
@@ -69,12 +82,36 @@ def delete_lexical(spark, d):
 
 
 def rarity_gate(spark, d):
-    posts = build_postings(spark, d)
-    return lexical.gate(lexical.term_stats(posts), corpus_stats(spark, d), TERMS, RATIO)
+    store = stored_index(spark, d)
+    return lexical.gate(store.term_stats(TERMS), store.corpus_stats(), TERMS, RATIO)
 
 
 def bm25_search(spark, d):
-    return lexical.top(lexical.bm25(build_postings(spark, d), corpus_stats(spark, d), TERMS, ratio=RATIO), fusion.CANDIDATES)
+    return lexical.top(stored_index(spark, d).search(TERMS, ratio=RATIO), fusion.CANDIDATES)
+
+
+def stored_postings(spark, d):
+    """Postings as the stored index has them, after a manual was deleted, added again and all was optimised."""
+    store = LexicalStore(spark, f"{checkpoint_dir(spark)}/lexical-{os.urandom(8).hex()}")
+    rows = index_rows(spark, d)
+    gone = table(spark, d, "removed_keys").filter("target_table = 'manuals'").select(id_key(F.col("target_id")).alias("k"))
+    again = rows.select("manual_id").distinct().join(gone.distinct(), F.regexp_replace("manual_id", "-", "") == F.col("k"), "left_semi")
+    store.create(rows)
+    store.delete(again)
+    store.add(rows.join(again, "manual_id", "left_semi"))
+    store.optimize()
+    store.vacuum()
+    return store.postings().drop("bucket")
+
+
+def stored_after_delete(spark, d):
+    """Term statistics of the stored index after the manuals in the deletion log have left it."""
+    store = LexicalStore(spark, f"{checkpoint_dir(spark)}/lexical-{os.urandom(8).hex()}")
+    rows = index_rows(spark, d)
+    gone = table(spark, d, "removed_keys").filter("target_table = 'manuals'").select(id_key(F.col("target_id")).alias("k"))
+    store.create(rows)
+    store.delete(rows.select("manual_id").distinct().join(gone.distinct(), F.regexp_replace("manual_id", "-", "") == F.col("k"), "left_semi"))
+    return store.term_stats()
 
 
 def _scope(spark, d) -> DataFrame:
@@ -83,8 +120,7 @@ def _scope(spark, d) -> DataFrame:
 
 
 def bm25_scoped(spark, d):
-    scored = lexical.bm25(build_postings(spark, d), corpus_stats(spark, d), TERMS, _scope(spark, d), RATIO)
-    return lexical.top(scored, fusion.CANDIDATES)
+    return lexical.top(stored_index(spark, d).search(TERMS, _scope(spark, d), RATIO), fusion.CANDIDATES)
 
 
 def query_terms(spark, d):
@@ -136,11 +172,34 @@ def _manual_names(spark, d) -> DataFrame:
     return table(spark, d, "manuals").groupBy(F.lower("id").alias("manual_id")).agg(last).select("manual_id", "m.*")
 
 
+def _outline(spark, d) -> DataFrame:
+    return table(spark, d, "bookmarks").dropDuplicates(["id"])
+
+
+def _hybrid(spark, d, **scope) -> DataFrame:
+    request = search.Request(" ".join(TERMS), query_vector(spark, d), 5, ratio=RATIO, **scope)
+    return search.hybrid(request, chunk_rows(spark, d), stored_index(spark, d), _manual_names(spark, d), _outline(spark, d), id_key)
+
+
 def hybrid_search(spark, d):
     """Fused hits with their manual's path, best five."""
-    hits = fusion.hybrid(*_lists(spark, d), limit=5).withColumn("manual_id", F.regexp_replace(F.lower("id"), "_[^_]*$", ""))
-    names = _manual_names(spark, d).select("manual_id", "relative_path")
-    return hits.join(names, "manual_id", "left").select("id", "fused", "retrieval", "dense_score", "relative_path")
+    return _hybrid(spark, d)
+
+
+def hybrid_scoped(spark, d):
+    """The same among the manuals of a path pattern."""
+    return _hybrid(spark, d, manual_path=SCOPE)
+
+
+def hybrid_in_section(spark, d):
+    """The same in one section and all below it: that of the least id among those of level 1 with chunks in their own and four more sections."""
+    held = chunk_rows(spark, d).filter("bookmark_id is not null").select(F.col("bookmark_id").alias("sub")).distinct()
+    wide = section_pairs(spark, d).join(held, "sub", "left_semi").groupBy("bookmark_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    tops = _outline(spark, d).filter("level = 1").withColumn("bookmark_id", id_key(F.col("id")))
+    first = tops.join(wide, "bookmark_id", "left_semi").agg(F.min("id")).first()[0]
+    if first is None:
+        return _hybrid(spark, d).filter(F.lit(False))
+    return _hybrid(spark, d, section=first)
 
 
 def hits_with_manual(spark, d):
@@ -158,20 +217,19 @@ def hits_with_figure(spark, d):
 
 def section_pairs(spark, d) -> DataFrame:
     """Every bookmark (bookmark_id) with itself and those below it (sub), as keys."""
-    b = table(spark, d, "bookmarks").dropDuplicates(["id"])
-    below = outline.subtree_bounds(b).join(b.select("manual_id", F.col("id").alias("other"), "ordering"), "manual_id")
-    inside = below.filter((F.col("id") == F.col("other")) | (F.col("ordering") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("ordering") < F.col("hi"))))
-    return inside.select(id_key(F.col("id")).alias("bookmark_id"), id_key(F.col("other")).alias("sub"))
+    b = _outline(spark, d)
+    below = outline.ancestors(b).select(id_key(F.col("ancestor")).alias("bookmark_id"), id_key(F.col("id")).alias("sub"))
+    return b.select(id_key(F.col("id")).alias("bookmark_id"), id_key(F.col("id")).alias("sub")).unionByName(below)
 
 
 def lexical_in_section(spark, d):
     """BM25 hits inside the sections, with all below them, of the bookmarks that the dense hits name."""
     c = chunk_rows(spark, d).select("id", "bookmark_id")
     section = c.join(dense_topk(spark, d).select("id"), "id", "left_semi").select("bookmark_id").filter("bookmark_id is not null").distinct()
-    named = section_pairs(spark, d).join(section, "bookmark_id", "left_semi").select(F.col("sub").alias("bookmark_id"))
+    named = section_pairs(spark, d).join(F.broadcast(section), "bookmark_id", "left_semi").select(F.col("sub").alias("bookmark_id"))
+    # Chunks of a bookmark without a row are still its own.
     allowed = c.join(section.unionByName(named), "bookmark_id", "left_semi").select(F.col("id").alias("chunk_id"))
-    scored = lexical.bm25(build_postings(spark, d), corpus_stats(spark, d), TERMS, ratio=RATIO)
-    return scored.join(allowed, "chunk_id", "left_semi")
+    return stored_index(spark, d).search(TERMS, ratio=RATIO).join(allowed, "chunk_id", "left_semi")
 
 
 def get_by_ids(spark, d):
@@ -189,8 +247,10 @@ def count_chunks(spark, d):
 
 
 def l2_normalize(spark, d):
+    """Every vector at length 1, as text: all of its numbers to six digits."""
     v = vectors.l2_normalize(F.col("embedding"))
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(v), 6).alias("length"), F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"))
+    shown = F.array_join(F.transform(v, lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")), " ")
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(v), 6).alias("length"), shown.alias("millionths"))
 
 
 def cosine(spark, d):
@@ -210,7 +270,7 @@ def embed_hash(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_search, bm25_search, bm25_scoped, build_postings, doc_freq, corpus_stats, reindex_lexical, delete_lexical, rarity_gate, query_terms, match_query, tokenize,
+        hybrid_search, hybrid_scoped, hybrid_in_section, stored_postings, stored_after_delete, bm25_search, bm25_scoped, build_postings, doc_freq, corpus_stats, reindex_lexical, delete_lexical, rarity_gate, query_terms, match_query, tokenize,
         dense_topk, dense_topk_filtered, chunk_filter, rrf_fuse, retrieval_tag, hits_with_manual, hits_with_figure, lexical_in_section, get_by_ids, scroll_filtered,
         count_chunks, l2_normalize, cosine, embed_hash,
     )

@@ -1,12 +1,12 @@
-"""Session helpers: table access, lineage cuts and size-checked broadcasts."""
+"""Session helpers: table access and lineage cuts."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_or_plain(df: DataFrame, rows: int, bound: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``bound``, else as it is."""
-    return F.broadcast(df) if rows <= bound else df
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def stamp(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A name for the present state of a table's files: changes when one is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:24]
