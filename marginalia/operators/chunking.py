@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.operators import outline
 
@@ -52,21 +53,28 @@ def split_texts(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Da
     return short.unionByName(full.filter(F.length("text") > size).mapInArrow(run, "id string, piece int, piece_text string"))
 
 
-def overlap_length(before: Column, after: Column, window: int = OVERLAP + MARGIN) -> Column:
-    """Longest end of ``before`` with which ``after`` begins, within ``window`` characters."""
-    most = F.least(F.length(before), F.length(after), F.lit(window))
-    fits = F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: F.endswith(before, F.substr(after, F.lit(1), n)))
-    return F.when(most > 0, F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0))).otherwise(F.lit(0))
+def merge_list(texts: list[str], window: int = OVERLAP + MARGIN) -> str:
+    """Texts in order as one: where a text begins with the end of what is before it, that is dropped; else a blank line joins them."""
+    parts, tail = [], ""
+    for n, text in enumerate(texts):
+        shared = next((k for k in range(min(len(tail), len(text), window), 0, -1) if tail.endswith(text[:k])), 0)
+        added = text[shared:] if shared or not n else "\n\n" + text
+        parts.append(added)
+        tail = (tail + added)[-window:]
+    return "".join(parts)
 
 
-def merge_texts(texts: Column, window: int = OVERLAP + MARGIN) -> Column:
-    """An array of texts in order as one text: overlaps are dropped, texts without overlap are joined by a blank line."""
+def merge_rows(rows: DataFrame, texts: str, into: str, window: int = OVERLAP + MARGIN) -> DataFrame:
+    """``rows`` with the array column ``texts`` merged to the text column ``into``, in one pass of Arrow batches; null texts count as absent."""
+    kept = [c for c in rows.columns if c != texts]
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(into, T.StringType())])
 
-    def step(merged: Column, nxt: Column) -> Column:
-        n = overlap_length(F.right(merged, F.lit(window)), nxt, window)
-        return F.when(n > 0, F.concat(merged, F.substr(nxt, n + 1, F.length(nxt)))).otherwise(F.concat(merged, F.lit("\n\n"), nxt))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [None if t is None else merge_list([x for x in t if x is not None], window) for t in batch.column(texts).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(merged, pa.string())], [*kept, into])
 
-    return F.when(F.size(texts) > 0, F.aggregate(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), texts[0], step)).otherwise(F.lit(""))
+    return rows.mapInArrow(run, schema)
 
 
 def figure_text(caption: Column, labels: Column, description: Column, page: Column) -> Column:

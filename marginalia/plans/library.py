@@ -432,34 +432,45 @@ def split_if_long(s, d):
     return chunk_rows(s, d).select("id", (F.length("document") > C.SIZE).alias("split"))
 
 
-PAIRS = "p AS (SELECT item_id, substr(text, 1, length(text) // 2) AS a, substr(text, greatest(length(text) // 2 - item_id % 40, 1)) AS b FROM eval_items)"
+def _merged(texts: str) -> str:
+    """DuckDB expression that merges a list of texts as ``chunking.merge_list`` does."""
+    shared = "coalesce(list_max(list_filter(range(1, least(length(a), length(x), 300) + 1), lambda k: right(a, k) = left(x, k))), 0)"
+    return f"list_reduce({texts}, lambda a, x: a || CASE WHEN {shared} = 0 THEN chr(10) || chr(10) || x ELSE substr(x, {shared} + 1) END)"
 
 
-@query(f"WITH {PAIRS}, n AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(a), length(b), 300) + 1), lambda k: right(a, k) = left(b, k))), 0) AS k FROM p) SELECT item_id, k AS shared, CASE WHEN k > 0 THEN a || substr(b, k + 1) ELSE a || chr(10) || chr(10) || b END AS merged FROM n")
+@query(f"WITH {T.CHUNKS}, p AS (SELECT id, document, lag(document) OVER (PARTITION BY manual_id ORDER BY regexp_extract(id, '_([0-9]+)$', 1)::INT, id) AS before FROM c WHERE document <> '') SELECT id, {_merged('[before, document]')} AS merged FROM p WHERE before IS NOT NULL")
 def merge_overlap(s, d):
-    """Two overlapping halves of every item, merged."""
-    half = F.floor(F.length("text") / 2).cast("int")
-    p = table(s, d, "eval_items").select(
-        c("item_id"), F.substr("text", F.lit(1), half).alias("a"), F.substr("text", F.greatest(half - (c("item_id") % 40).cast("int"), F.lit(1)), F.length("text")).alias("b")
-    )
-    return p.select("item_id", C.overlap_length(c("a"), c("b")).alias("shared"), C.merge_texts(F.array("a", "b")).alias("merged"))
-
-
-@query()
+    """Every chunk merged with the one before it in its manual."""
+    seq = F.regexp_extract("id", "_([0-9]+)$", 1).cast("int")
+    before = F.lag("document").over(Window.partitionBy("manual_id").orderBy(seq, "id"))
+    p = chunk_rows(s, d).filter("document <> ''").select("id", F.array(before, c("document")).alias("t"))
+    return C.merge_rows(p.filter(c("t")[0].isNotNull()), "t", "merged")
+
+
+@query(
+    f"WITH {T.CHUNKS},{T.SECTIONS}, own AS (SELECT k, sub FROM sec UNION SELECT bookmark_id, bookmark_id FROM c WHERE bookmark_id IS NOT NULL), "
+    "r AS (SELECT own.k, regexp_extract(id, '_([0-9]+)$', 1)::INT AS seq, id, kind = 'figure' AS fig, document, figure_id, page FROM c JOIN own ON c.bookmark_id = own.sub WHERE document <> ''), "
+    "z AS (SELECT *, CASE WHEN lag(fig) OVER w IS NOT NULL AND lag(fig) OVER w IS DISTINCT FROM fig THEN 1 ELSE 0 END AS ch FROM r WINDOW w AS (PARTITION BY k ORDER BY seq, id)), "
+    "y AS (SELECT *, sum(ch) OVER (PARTITION BY k ORDER BY seq, id) AS run FROM z), "
+    "texts AS (SELECT k, min(struct_pack(s := seq, i := id)) AS pos, list(document ORDER BY seq, id) AS t FROM y WHERE NOT coalesce(fig, false) GROUP BY k, run), "
+    "blocks AS (SELECT k, pos, " + _merged("t") + " AS text FROM texts UNION ALL "
+    "SELECT k, struct_pack(s := seq, i := id), CASE WHEN figure_id IS NULL THEN '[Figure (page ' ELSE '[Figure: ' || figure_id || ' (page ' END || coalesce(page::VARCHAR, 'None') || ')]' || chr(10) || chr(10) || document FROM y WHERE fig) "
+    "SELECT k AS bookmark_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS markdown FROM blocks GROUP BY k"
+)
 def section_markdown(s, d):
-    """Text of the chunks of every bookmark and of those below it, in order, overlaps merged, figures as blocks."""
-    chunks = chunk_rows(s, d).filter("bookmark_id is not null").withColumnRenamed("bookmark_id", "sub")
+    """Text of the chunks of every bookmark and of those below it, in order, overlaps merged, figures as blocks of their own."""
+    chunks = chunk_rows(s, d).filter("bookmark_id is not null and document <> ''").withColumnRenamed("bookmark_id", "sub")
     # Chunks of a bookmark without a row are still its own.
     inside = section_pairs(s, d).unionByName(chunks.select(c("sub").alias("bookmark_id"), "sub")).distinct()
-    r = chunks.join(inside, "sub").withColumn("seq", F.regexp_extract("id", "_([0-9]+)$", 1).cast("int")).withColumn("fig", c("kind") == "figure")
-    flagged = O.runs(r, ["fig"], ["bookmark_id"], ["seq"])
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "document"))), lambda x: x["document"])
-    label = F.when(F.max("figure_id").isNotNull(), F.concat(F.lit("[Figure: "), F.max("figure_id"), F.lit(" (page "), F.coalesce(F.max("page").cast("string"), F.lit("None")), F.lit(")]"))).otherwise(
-        F.concat(F.lit("[Figure (page "), F.coalesce(F.max("page").cast("string"), F.lit("None")), F.lit(")]"))
-    )
-    blocks = flagged.groupBy("bookmark_id", "run", "fig", F.when(c("fig"), c("seq")).alias("own")).agg(F.min("seq").alias("seq"), texts.alias("t"), label.alias("label"))
-    shown = blocks.select("bookmark_id", "seq", F.when(c("fig"), F.concat("label", F.lit("\n\n"), F.array_join("t", "\n\n"))).otherwise(C.merge_texts(c("t"))).alias("text"))
-    return shown.groupBy("bookmark_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n").alias("markdown"))
+    seq = F.regexp_extract("id", "_([0-9]+)$", 1).cast("int")
+    r = chunks.select("id", "sub", seq.alias("seq"), F.coalesce(c("kind") == "figure", F.lit(False)).alias("fig"), "document", "figure_id", "page").join(inside, "sub")
+    flagged = O.runs(r, ["fig"], ["bookmark_id"], ["seq", "id"])
+    at = F.struct("seq", "id")
+    texts = flagged.filter("not fig").groupBy("bookmark_id", "run").agg(F.min(at).alias("at"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", "document"))), lambda x: x["document"]).alias("t"))
+    head = F.when(c("figure_id").isNull(), "[Figure (page ").otherwise(F.concat(F.lit("[Figure: "), "figure_id", F.lit(" (page ")))
+    shown = F.concat(head, F.coalesce(c("page").cast("string"), F.lit("None")), F.lit(")]\n\n"), "document")
+    blocks = C.merge_rows(texts.drop("run"), "t", "text").unionByName(flagged.filter("fig").select("bookmark_id", at.alias("at"), shown.alias("text")))
+    return blocks.groupBy("bookmark_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n\n").alias("markdown"))
 
 
 @query()

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from marginalia.operators import chunking as C
 from marginalia.operators import library as L
 from marginalia.operators import outline as O
+from marginalia.runtime import cut
 
-PATHS = ["zOS/V3R2/first.pdf", "zOS/V3R2/second.pdf", "zOS/V4R1/third.pdf", "Db2 for zOS/v13.1/fourth.pdf", "dummy_manual.pdf"]
+PATHS = ["Looms/Mk2/weft.pdf", "Looms/Mk2/warp.pdf", "Looms/Mk5/shed.pdf", "Dyes for Looms/b7/madder.pdf", "index.pdf"]
 
 
 @pytest.fixture(scope="module")
@@ -17,13 +18,13 @@ def manuals(spark):
 
 def test_folder_and_patterns(manuals):
     rows = [(r.is_manual, r.name, r.manuals) for r in L.list_folder(manuals, "").orderBy("is_manual", "name").collect()]
-    assert rows == [(False, "Db2 for zOS", 1), (False, "zOS", 3), (True, "dummy_manual.pdf", None)]
-    assert manuals.filter(L.manual_pattern("zOS/*")).count() == 3 and manuals.filter(L.manual_pattern("zos/*")).count() == 0
+    assert rows == [(False, "Dyes for Looms", 1), (False, "Looms", 3), (True, "index.pdf", None)]
+    assert manuals.filter(L.manual_pattern("Looms/*")).count() == 3 and manuals.filter(L.manual_pattern("looms/*")).count() == 0
     assert L.manual_pattern("*") is None
     with pytest.raises(L.LibraryError):
         L.manual_pattern(" / ")
     assert manuals.filter(L.include(F.col("relative_path"), ["*.pdf"])).count() == 5 and manuals.filter(L.include(F.col("relative_path"), [])).count() == 5
-    assert manuals.filter(L.include(F.col("relative_path"), ["zOS/V[34]R?/*", "nothing"])).count() == 3
+    assert manuals.filter(L.include(F.col("relative_path"), ["Looms/M[km][25]/*", "nothing"])).count() == 3
 
 
 def test_sync_and_upsert(spark):
@@ -45,18 +46,20 @@ def test_scalars(spark):
     ids = ["m1_0", "ü・1", ""]
     got = spark.createDataFrame([(x,) for x in ids], "x string").select(L.point_id(F.col("x"), uuid.NAMESPACE_DNS.hex)).collect()
     assert [r[0] for r in got] == [str(uuid.uuid5(uuid.NAMESPACE_DNS, x)) for x in ids]
-    times = [(0, "0:00"), (9, "0:09"), (61, "1:01"), (3599, "59:59"), (3600, "1:00:00"), (45296, "12:34:56"), (None, ""), (-1, "")]
+    times = [(0, "0:00"), (7, "0:07"), (125, "2:05"), (3540, "59:00"), (7205, "2:00:05"), (86399, "23:59:59"), (None, ""), (-3, "")]
     df = spark.createDataFrame(times, "s int, want string")
     assert df.filter(L.format_duration(F.col("s")) != F.col("want")).count() == 0
-    titles = [("3 Installation", "installation"), ("2.1  Setup steps", "setup steps"), ("3-1 Wiring", "wiring"), ("IV. Overview", "overview"), ("A. Appendix:", "appendix"), ("A quick guide", "a quick guide"), (None, "")]
+    titles = [("7 Threading", "threading"), ("4.12  Beam  tension", "beam tension"), ("5-2 Reeds", "reeds"), ("XII. Heddles", "heddles"), ("C. Tables:", "tables"), ("A loose thread", "a loose thread"), (None, "")]
     df = spark.createDataFrame(titles, "t string, want string")
     assert df.filter(O.normalize_title(F.col("t")) != F.col("want")).count() == 0
 
 
 def test_merge(spark):
-    cases = [([], ""), (["abc"], "abc"), (["This is overlap", "lap logic check"], "This is overlap logic check"), (["abc", "def"], "abc\n\ndef"), (["ab", "b", "bc"], "abc")]
-    df = spark.createDataFrame(cases, "t array<string>, want string")
-    assert [r[0] for r in df.select(C.merge_texts(F.col("t"))).collect()] == [w for _, w in cases]
+    cases = [([], ""), (["weft"], "weft"), (["pull the shuttle", "tle back and forth"], "pull the shuttle back and forth"), (["red", "blue"], "red\n\nblue"), (["ab", "b", "bc"], "abc"), (["x", None, "y"], "x\n\ny"), (None, None)]
+    df = spark.createDataFrame([(n, t, "clash") for n, (t, _) in enumerate(cases)], "n int, t array<string>, text string").drop("text")
+    assert [r["merged"] for r in C.merge_rows(df, "t", "merged").orderBy("n").collect()] == [w for _, w in cases]
+    # A text is looked at against all that was merged before it, and no more than the window of it.
+    assert C.merge_list(["abc", "c", "bcd"]) == "abcd" and C.merge_list(["a" * 400, "a" * 400], 300) == "a" * 500
 
 
 def test_split():
@@ -134,3 +137,36 @@ def test_sections_hold_what_is_below_them(spark, tmp_path):
     assert got == {"1": "rotor one\n\nrotor two", "2": "rotor one\n\nrotor two", "3": "rotor two", "4": "rotor three"}
     pairs = {(r.bookmark_id[-1], r.sub[-1]) for r in search.section_pairs(spark, d).collect()}
     assert pairs == {("1", "1"), ("1", "2"), ("1", "3"), ("2", "2"), ("2", "3"), ("3", "3"), ("4", "4")}
+
+
+def test_subtrees_are_counted(spark):
+    """Sizes, depths and ancestors of dirty outlines equal brute force: repeated orderings, null levels."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"{m}{n:02d}", m, rnd.randrange(25), rnd.choice([1, 2, 3, 4, 7, None])) for m in "mno" for n in range(30)]
+    marks = spark.createDataFrame(rows, "id string, manual_id string, ordering int, level int")
+    got = {r.id: (r.n, r.deepest) for r in O.subtrees(marks).collect()}
+    above = {}
+    for r in O.ancestors(marks).collect():
+        above.setdefault(r.id, set()).add(r.ancestor)
+    for i, m, o, lv in rows:
+        mine = [r for r in rows if r[1] == m]
+        ends = [z[2] for z in mine if (z[2], z[0]) > (o, i) and z[3] is not None and lv is not None and z[3] <= lv]
+        inside = [q for q in mine if q[2] >= o and (not ends or q[2] < min(ends))]
+        assert got[i] == (len(inside), max([q[3] for q in inside if q[3] is not None], default=0))
+        want = {a for a, _, ao, al in mine if al is not None and lv is not None and al < lv and (ao, a) < (o, i) and not any(z[3] is not None and z[3] <= al and (ao, a) < (z[2], z[0]) < (o, i) for z in mine)}
+        assert above.get(i, set()) == want
+
+
+def test_waves_and_changes(spark):
+    rows = [(f"f{n:03d}", (n * 37) % 50 if n % 11 else None) for n in range(103)]
+    df = spark.createDataFrame(rows, "id string, page_count int")
+    got = {r.id: r.wave for r in L.waves(df, cut, 8, F.desc_nulls_first("page_count"), F.col("id")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    sizes = [13] * 7 + [12]
+    want = {r[0]: w for r, w in zip(ordered, [w for w, k in enumerate(sizes, 1) for _ in range(k)])}
+    assert got == want
+    assert L.waves(df.filter("false"), cut, 8, F.col("id")).count() == 0
+    h = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, "x"), ("b", 2, None), ("c", None, "q"), ("c", 5, "p")], "id string, at int, h string")
+    assert {tuple(r) for r in L.changed(h, "id", "h", "at").collect()} == {("a", "x", "y"), ("c", "q", "p")}
