@@ -89,6 +89,34 @@ def table_text(caption: Column, markdown: Column) -> Column:
     return F.nullif(F.concat_ws("\n\n", F.nullif(caption, F.lit("")), F.nullif(markdown, F.lit(""))), F.lit(""))
 
 
+def table_markdown(cells: Column) -> Column:
+    """A table (array of rows, each an array of texts) as Markdown, the first row its head; null for a table without rows.
+
+    Bars are escaped, line breaks become blanks, missing cells are empty, and short rows are filled up to the head's width.
+    """
+    width = F.size(cells[0])
+    flat = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*[\r\n]+\s*", " ")
+    clean = lambda x: F.replace(flat(x), F.lit("|"), F.lit("\\|"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), clean), " | "), F.lit(" |"))
+    lines = F.transform(cells, line)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+    return F.when(F.size(cells) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
+
+
+def described(items: DataFrame) -> DataFrame:
+    """Pictures and tables with the caption that refers to them: items (manual_id, seq, label, text, self_ref, parent_ref, ...).
+
+    An item's own caption stays; else it gets the texts of the caption items whose parent_ref is its self_ref, in order.
+    Those caption items are left out, as they would be said twice; captions that refer to nothing stay as texts.
+    """
+    owners = items.filter(F.col("label").isin("picture", "table") & F.col("self_ref").isNotNull())
+    told = items.filter((F.col("label") == "caption") & F.col("parent_ref").isNotNull()).select("manual_id", F.col("parent_ref").alias("self_ref"), F.col("seq").alias("_s"), F.col("text").alias("_t"))
+    spoken = told.groupBy("manual_id", "self_ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_t"))), lambda x: x["_t"]), " ").alias("_caption"))
+    used = items.join(owners.select("manual_id", F.col("self_ref").alias("parent_ref")).distinct(), ["manual_id", "parent_ref"], "left_semi").filter(F.col("label") == "caption").select("manual_id", "seq")
+    left = items.join(used, ["manual_id", "seq"], "left_anti").join(spoken, ["manual_id", "self_ref"], "left")
+    return left.withColumn("caption", F.coalesce(F.nullif("caption", F.lit("")), F.when(F.col("label").isin("picture", "table"), F.col("_caption")))).select(*items.columns)
+
+
 def picture_index(self_ref: Column, fallback: Column) -> Column:
     """The number after the last ``/`` of a reference, else the running count."""
     return F.coalesce(F.nullif(F.regexp_extract(self_ref, "(?:^|/)([0-9]+)$", 1), F.lit("")).try_cast("int"), fallback)

@@ -98,6 +98,36 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
+def sync_manuals(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``stored`` and ``incoming`` (id, file_hash, ...; same columns) to the manuals after a sync, each with an action.
+
+    keep: the hash is the same, the stored row stays as it is; rewrite: another hash, the incoming row replaces it, and
+    what was read from the old file must go (see ``without``); insert: new; rest: stored and not incoming.
+    """
+    others = [c for c in stored.columns if c != "id"]
+    left, right = stored.select("id", F.struct(*others).alias("s")), incoming.select("id", F.struct(*others).alias("i"))
+    both = left.join(right, "id", "full_outer")
+    action = F.when(F.col("i").isNull(), "rest").when(F.col("s").isNull(), "insert").when(F.col("s.file_hash").eqNullSafe(F.col("i.file_hash")), "keep").otherwise("rewrite")
+    row = F.when(F.col("action").isin("keep", "rest"), F.col("s")).otherwise(F.col("i"))
+    return both.withColumn("action", action).withColumn("r", row).select("id", "r.*", "action")
+
+
+def without(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table (each with a manual_key) without the rows of the manuals that are ``gone`` (manual_key)."""
+    keys = gone.select("manual_key").filter(F.col("manual_key").isNotNull()).distinct()
+    return {name: rows.join(keys, "manual_key", "left_anti") for name, rows in tables.items()}
+
+
+def figure(figures: DataFrame, figure_id: str, key) -> tuple[dict, bytes | None]:
+    """One figure's row, and its image apart; raises ``not_found``.  Ids are compared by ``key``."""
+    found = figures.filter(key(F.col("id")) == key(F.lit(figure_id))).limit(1).collect()
+    if not found:
+        raise LibraryError("not_found", f"no figure {figure_id!r}")
+    row = found[0].asDict()
+    image = row.pop("image", None)
+    return row, None if image is None else bytes(image)
+
+
 def resume_actions(files: DataFrame, reset: bool = False, min_pages: int | None = None, max_pages: int | None = None) -> DataFrame:
     """``files`` with changed, converted_at and page_count to an action: defer (outside the page range), skip or convert."""
     low = F.lit(True) if min_pages is None else F.col("page_count") >= min_pages

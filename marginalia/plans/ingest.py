@@ -37,7 +37,7 @@ def archive_roundtrip(s, d):
     """One folder's manuals exported and imported again: rows per member."""
     m = manuals(s, d).filter(F.col("relative_path").startswith("Tarvel OS/")).select(F.lower("id").alias("id"), "relative_path", "file_hash")
     b = marks(s, d).select("id", F.lower("manual_id").alias("manual_id"), "title")
-    f = figures(s, d).select("id", F.lower("manual_id").alias("manual_id"), "page")
+    f = table(s, d, "figures").select("id", F.lower("manual_id").alias("manual_id"), "page", "image").distinct()
     c = chunk_rows(s, d).select("id", "manual_id", "document", "embedding")
     base = os.path.join(checkpoint_dir(s), "archive", os.urandom(6).hex())
     D.write_archive(base, m, b, f, c, "model")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from marginalia.operators import library as L
 from marginalia.operators import outline as O
 from marginalia.plans import sqltext as T
 from marginalia.plans.search import chunk_rows, section_pairs
-from marginalia.runtime import cut, table
+from marginalia.runtime import checkpoint_dir, cut, table
+from marginalia.sources.chunk_store import ChunkStore
+from marginalia.sources.manifest import united
 
 c = F.col
 QUERIES: dict = {}
@@ -105,9 +109,87 @@ def deleted_paths(s, d):
     return _sync(s, d).filter("action = 'delete'").select("relative_path")
 
 
-@query(f"WITH {M} SELECT id, relative_path, file_hash, page_count FROM m")
+def _two_syncs(s, d):
+    """The manuals as stored before 2025, and those that were synced since."""
+    m = table(s, d, "manuals")
+    day = F.lit("2025-01-01").cast("timestamp")
+    one = lambda rows: L.latest(rows.withColumn("_o", c("updated_at")), "id", "_o", "file_hash").drop("_o")
+    return one(m.filter(c("updated_at") < day)), one(m.filter(c("updated_at") >= day))
+
+
+TWO = """s AS (SELECT id, arg_max(struct_pack(p := relative_path, h := file_hash), struct_pack(u := updated_at, h := file_hash)) AS r FROM manuals WHERE updated_at < TIMESTAMPTZ '2025-01-01 00:00:00+00' GROUP BY 1),
+i AS (SELECT id, arg_max(struct_pack(p := relative_path, h := file_hash), struct_pack(u := updated_at, h := file_hash)) AS r FROM manuals WHERE updated_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' GROUP BY 1),
+y AS (SELECT id, CASE WHEN i.r IS NULL THEN 'rest' WHEN s.r IS NULL THEN 'insert' WHEN s.r.h IS NOT DISTINCT FROM i.r.h THEN 'keep' ELSE 'rewrite' END AS action, s.r AS sr, i.r AS ir FROM s FULL JOIN i USING (id))"""
+
+
+@query(f"WITH {M} SELECT id, relative_path, file_hash, page_count FROM m WHERE updated_at IS NOT NULL")
 def upsert_manuals(s, d):
-    return manuals(s, d).select("id", "relative_path", "file_hash", "page_count")
+    """The stored manuals with those of the later syncs written over them."""
+    return L.upsert(*_two_syncs(s, d), "id").select("id", "relative_path", "file_hash", "page_count")
+
+
+@query(f"WITH {TWO} SELECT id, action, CASE WHEN action IN ('keep', 'rest') THEN sr.p ELSE ir.p END AS relative_path FROM y")
+def sync_manuals(s, d):
+    """Manuals after a sync, gated by their hashes: a manual with the same hash stays untouched."""
+    return L.sync_manuals(*_two_syncs(s, d)).select("id", "action", "relative_path")
+
+
+@query(f"WITH {TWO}, g AS (SELECT {T.key('id')} AS k FROM y WHERE action = 'rewrite') SELECT 'bookmarks' AS table_name, count(DISTINCT id) AS rows FROM bookmarks WHERE {T.key('manual_id')} IS NULL OR {T.key('manual_id')} NOT IN (SELECT k FROM g) UNION ALL SELECT 'figures', count(DISTINCT id) FROM figures WHERE {T.key('manual_id')} IS NULL OR {T.key('manual_id')} NOT IN (SELECT k FROM g)")
+def sync_children(s, d):
+    """Bookmarks and figures that stay when the files of rewritten manuals are read anew."""
+    gone = L.sync_manuals(*_two_syncs(s, d)).filter("action = 'rewrite'").select(id_key(c("id")).alias("manual_key"))
+    left = L.without({t: table(s, d, t).select("id", id_key(c("manual_id")).alias("manual_key")) for t in ("bookmarks", "figures")}, gone)
+    counts = [r.agg(F.countDistinct("id").alias("rows")).select(F.lit(t).alias("table_name"), "rows") for t, r in left.items()]
+    return counts[0].unionByName(counts[1])
+
+
+_GONE = f"g AS (SELECT {T.key('id')} AS k FROM m WHERE starts_with(relative_path, 'Tarvel OS/'))"
+_CHILD = {"bookmarks": T.key("manual_id"), "figures": T.key("manual_id"), "chunks": T.core("regexp_replace(id, '_[^_]*$', '')"), "chunks_fts": T.core("regexp_replace(chunk_id, '_[^_]*$', '')")}
+
+
+@query(f"WITH {M}, {_GONE} SELECT 'manuals' AS table_name, count(*) AS rows FROM m WHERE {T.key('id')} NOT IN (SELECT k FROM g)" + "".join(f" UNION ALL SELECT '{t}', count(DISTINCT {'chunk_id' if t == 'chunks_fts' else 'id'}) FROM {t} WHERE coalesce({k}, '') NOT IN (SELECT k FROM g)" for t, k in _CHILD.items()))
+def delete_cascade(s, d):
+    """What stays of every table when all manuals under a folder are deleted with all that belongs to them."""
+    m = manuals(s, d).withColumn("manual_key", id_key(c("id")))
+    child = lambda col: id_key(F.regexp_replace(col, "_[^_]*$", ""))
+    tables = {
+        "manuals": m.select("id", "manual_key"), "bookmarks": marks(s, d).select("id", id_key(c("manual_id")).alias("manual_key")), "figures": figures(s, d).select("id", id_key(c("manual_id")).alias("manual_key")),
+        "chunks": chunk_rows(s, d).select("id", child("id").alias("manual_key")), "chunks_fts": table(s, d, "chunks_fts").select(c("chunk_id").alias("id"), child("chunk_id").alias("manual_key")),
+    }
+    left = L.without(tables, m.filter(c("relative_path").startswith("Tarvel OS/")))
+    return united([r.agg(F.countDistinct("id").alias("rows")).select(F.lit(t).alias("table_name"), "rows") for t, r in left.items()])
+
+
+@query(f"WITH {T.CHUNKS} SELECT id, kind, length(document) AS n_chars FROM c WHERE (page % 2 = 0 OR kind = 'text') AND replace(manual_id, '-', '') NOT IN (SELECT {T.core('target_id')} FROM removed_keys WHERE target_table = 'manuals')")
+def chunk_store(s, d):
+    """A store filled twice, the second time over some of the first, without the manuals of the deletion log, optimised."""
+    store = ChunkStore(s, f"{checkpoint_dir(s)}/chunks-{os.urandom(8).hex()}")
+    rows = chunk_rows(s, d)
+    store.reset("model")
+    store.add(rows.filter("page % 2 = 0").withColumn("document", F.concat("document", F.lit(" as it was"))), "model")
+    store.add(rows.filter("page % 2 = 0 or kind = 'text'"), "model")
+    gone = table(s, d, "removed_keys").filter("target_table = 'manuals'").select(id_key(c("target_id")).alias("k")).distinct()
+    store.delete(rows.select("manual_id").distinct().join(gone, F.regexp_replace("manual_id", "-", "") == c("k"), "left_semi"))
+    store.optimize()
+    store.vacuum()
+    return store.scroll().select("id", "kind", F.length("document").alias("n_chars"))
+
+
+@query("SELECT DISTINCT id, md5(image) AS image_md5, octet_length(image) AS image_bytes FROM figures")
+def figure_images(s, d):
+    """Images of all figures, as their digests and lengths."""
+    return table(s, d, "figures").select("id", F.md5("image").alias("image_md5"), F.octet_length("image").cast("bigint").alias("image_bytes")).distinct()
+
+
+_CELL = r"'| ' || replace(regexp_replace(coalesce(title, ''), '\s*[\r\n]+\s*', ' ', 'g'), '|', '\|') || ' | ' || coalesce(page_num::VARCHAR, '') || ' |'"
+
+
+@query(f"WITH {B} SELECT manual_id, '| Title | Page |' || chr(10) || '| --- | --- |' || chr(10) || string_agg({_CELL}, chr(10) ORDER BY ordering, id) AS markdown FROM b WHERE level = 1 AND manual_id IS NOT NULL GROUP BY 1")
+def table_markdown(s, d):
+    """The top level of every manual's outline as a Markdown table."""
+    rows = marks(s, d).filter("level = 1 and manual_id is not null").groupBy("manual_id").agg(F.array_sort(F.collect_list(F.struct("ordering", "id", "title", "page_num"))).alias("r"))
+    cells = F.concat(F.array(F.array(F.lit("Title"), F.lit("Page"))), F.transform("r", lambda x: F.array(x["title"], x["page_num"].cast("string"))))
+    return rows.select("manual_id", C.table_markdown(cells).alias("markdown"))
 
 
 @query("SELECT chunk_id AS id, arg_max(content, struct_pack(i := coalesce(indexed_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), c := content)) AS content FROM chunks_fts GROUP BY 1")

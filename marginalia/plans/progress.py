@@ -94,11 +94,21 @@ def build_summary(s, d):
     return file_state(s, d).agg(F.count(F.lit(1)).alias("found"), n("done"), n("failed"), n("skipped"))
 
 
-@query(f"WITH {E} SELECT min(ts) FILTER (stage = 'converting') AS started, round(sum(pages_done) / (epoch_us(max(ts)) - epoch_us(min(ts) FILTER (stage = 'converting'))) * 6e7, 6) AS pages_per_minute FROM e")
+@query(
+    f"WITH {E}, r AS (SELECT min(ts) FILTER (stage = 'converting') AS started, sum(pages_done) / (epoch_us(max(ts)) - epoch_us(min(ts) FILTER (stage = 'converting'))) * 6e7 AS rate FROM e), "
+    "left_ AS (SELECT sum(greatest(pages - pages_done, 0)) FILTER (stage NOT IN ('done', 'failed', 'skipped')) AS pages_left FROM st) "
+    "SELECT started, round(rate, 6) AS pages_per_minute, coalesce(pages_left, 0)::BIGINT AS pages_left, CASE WHEN rate > 0 THEN round(coalesce(pages_left, 0) / rate, 4) END AS minutes_left FROM r, left_"
+)
 def throughput(s, d):
+    """Earliest conversion, pages a minute since, pages of the files that aren't finished, and the minutes they will take."""
     began = F.min(F.when(c("stage") == "converting", c("ts")))
     micros = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(began.cast("timestamp"))
-    return events(s, d).agg(began.alias("started"), F.round(F.sum("pages_done") / micros * 6e7, 6).alias("pages_per_minute"))
+    rate = events(s, d).agg(began.alias("started"), (F.sum("pages_done") / micros * 6e7).alias("rate"))
+    open_ = file_state(s, d).filter(~c("stage").isin("done", "failed", "skipped"))
+    left = open_.agg(F.coalesce(F.sum(F.greatest(c("pages") - c("pages_done"), F.lit(0))), F.lit(0)).cast("bigint").alias("pages_left"))
+    # One row each.
+    both = rate.crossJoin(F.broadcast(left))
+    return both.select("started", F.round("rate", 6).alias("pages_per_minute"), "pages_left", F.when(c("rate") > 0, F.round(c("pages_left") / c("rate"), 4)).alias("minutes_left"))
 
 
 @query(f"WITH {E} SELECT user_id % 8 AS owner, arg_max(path, seq) AS path, max(seq) AS since FROM e GROUP BY 1 HAVING arg_max(stage, seq) NOT IN ('done', 'failed')")
@@ -165,7 +175,26 @@ def stream_progress(s, d):
     return s.read.parquet(f"{base}/{name}")
 
 
-@query()
+@query(f"WITH {E} SELECT path, stage, failed_seq, pages, pages_done FROM st")
+def stream_states(s, d):
+    """The log written in three portions, each folded by the stream into the states that the ones before it left."""
+    base = os.path.join(checkpoint_dir(s), "stream", s.sparkContext.applicationId, os.urandom(6).hex())
+    rows = events(s, d).select("seq", c("seq").cast("double").alias("ts"), F.lit("file").alias("event"), "path", "stage", "part", "parts", "pages", "pages_done", "error")
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    out = os.path.join(base, "states")
+    for k in range(3):
+        rows.filter((c("seq") > last * k // 3 if k else F.lit(True)) & (c("seq") <= last * (k + 1) // 3)).write.mode("append").json(f"{base}/log")
+
+        def keep(batch: DataFrame, n: int, k: int = k) -> None:
+            batch.withColumn("at", F.lit(k * 1_000_000 + n)).write.mode("append").parquet(out)
+
+        folded = P.stream_states(P.read_log(s, f"{base}/log"))
+        folded.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    told = s.read.parquet(out)
+    return L.latest(told, "path", "at").select("path", "stage", "failed_seq", "pages", "pages_done")
+
+
+@query("SELECT DISTINCT id, length(document) AS n_chars FROM chunks")
 def read_chunks_jsonl(s, d):
     """Chunks written as JSON lines (gzip) and read back."""
     base = os.path.join(checkpoint_dir(s), "jsonl", os.urandom(6).hex())

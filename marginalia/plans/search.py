@@ -11,6 +11,7 @@ from marginalia.functions.identifiers import id_key
 from marginalia.operators import fusion, lexical, outline, search, vectors
 from marginalia.plans import sqltext as T
 from marginalia.runtime import checkpoint_dir, stamp, table
+from marginalia.sources import embedders
 from marginalia.sources.lexical_store import LexicalStore
 
 #: The queries of the search plans.
@@ -259,12 +260,24 @@ def cosine(spark, d):
 
 
 def embed_hash(spark, d):
-    """A deterministic embedding: hashed trigrams of the lower-cased text in 16 buckets, as counts."""
-    t = F.lower(F.coalesce("text", F.lit("")))
-    grams = F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    single = table(spark, d, "eval_items").select("item_id", F.explode(grams).alias("g"))
+    """A deterministic embedding of every chunk: hashed trigrams of the lower-cased text in 16 buckets, at length 1; all numbers to six digits."""
+    t = F.lower(F.coalesce("content", F.lit("")))
+    # All overlapping trigrams in one pass over the text, character by character.
+    grams = F.regexp_extract_all(t, F.lit("(?s)(?=(...))."), F.lit(1))
+    single = index_rows(spark, d).select("chunk_id", F.explode(grams).alias("g"))
     bucket = F.conv(F.substring(F.md5(F.col("g").cast("binary")), 1, 1), 16, 10).cast("int")
-    return single.groupBy("item_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = single.groupBy("chunk_id", bucket.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # Sixteen numbers a chunk.
+    found = counts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    v = vectors.l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.coalesce(F.col("m")[b], F.lit(0.0))))
+    return found.select(F.col("chunk_id").alias("id"), F.array_join(F.transform(v, lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")), " ").alias("millionths"))
+
+
+def embed_chunks(spark, d):
+    """Every chunk through the embedder boundary: dimension and length of its vector (0 for texts without a trigram)."""
+    rows = index_rows(spark, d).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    made = embedders.embed_rows(rows, "hash", dimension=64)
+    return made.select("id", F.size("embedding").alias("dimension"), F.round(vectors.norm(F.col("embedding")), 4).alias("length"))
 
 
 QUERIES = {
@@ -272,7 +285,7 @@ QUERIES = {
     for f in (
         hybrid_search, hybrid_scoped, hybrid_in_section, stored_postings, stored_after_delete, bm25_search, bm25_scoped, build_postings, doc_freq, corpus_stats, reindex_lexical, delete_lexical, rarity_gate, query_terms, match_query, tokenize,
         dense_topk, dense_topk_filtered, chunk_filter, rrf_fuse, retrieval_tag, hits_with_manual, hits_with_figure, lexical_in_section, get_by_ids, scroll_filtered,
-        count_chunks, l2_normalize, cosine, embed_hash,
+        count_chunks, l2_normalize, cosine, embed_hash, embed_chunks,
     )
 }
 SQL = T.search_sql(TERMS, RATIO, lexical._MARKED, lexical._PLAIN)

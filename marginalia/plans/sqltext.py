@@ -114,6 +114,10 @@ top1 AS (SELECT arg_min(k, id) AS k FROM bk WHERE level = 1 AND k IN (SELECT k F
         "l2_normalize": "SELECT vec_id, round(sqrt(list_inner_product(u, u)), 6) AS length, array_to_string(list_transform(u, lambda x: round(x * 1000000)::BIGINT::VARCHAR), ' ') AS millionths FROM "
         + "(SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)",
         "cosine": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q",
-        "embed_hash": "WITH g AS (SELECT item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS g FROM eval_items) "
-        + "SELECT item_id, (strpos('0123456789abcdef', substr(md5(g), 1, 1)) - 1)::INT AS bucket, count(*) AS n FROM g GROUP BY ALL",
+        "embed_hash": chunks
+        + ", g AS (SELECT id, unnest(list_transform(range(1, length(document) - 1), lambda i: substr(lower(document), i, 3))) AS g FROM c WHERE length(document) >= 3), "
+        + "n AS (SELECT id, strpos('0123456789abcdef', substr(md5(g), 1, 1)) AS b, count(*) AS k FROM g GROUP BY ALL), "
+        + "v AS (SELECT id, map_from_entries(list((b, k))) AS m, sqrt(sum(k * k)) AS l FROM n GROUP BY id) "
+        + "SELECT id, array_to_string(list_transform(range(1, 17), lambda b: round(coalesce(m[b], 0) / l * 1000000)::BIGINT::VARCHAR), ' ') AS millionths FROM v",
+        "embed_chunks": chunks + " SELECT id, 64 AS dimension, CASE WHEN length(coalesce(document, '')) >= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM c",
     }

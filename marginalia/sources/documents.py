@@ -130,6 +130,52 @@ def write_archive(folder: str, manuals: DataFrame, bookmarks: DataFrame, figures
     manuals.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{folder}/manifest")
 
 
+def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files compressed with zstandard to their lines, a few at a time."""
+    import io
+
+    import zstandard
+
+    for f in frames:
+        for content in f["content"]:
+            held: list[str] = []
+            with zstandard.ZstdDecompressor().stream_reader(bytes(content), read_across_frames=True) as raw:
+                for line in io.TextIOWrapper(raw, encoding="utf-8"):
+                    held.append(line)
+                    if len(held) >= 1000:
+                        yield pd.DataFrame({"value": held})
+                        held = []
+            yield pd.DataFrame({"value": held})
+
+
+def chunk_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Archived chunks of any published form: id, document, embedding and metadata (a map).
+
+    Taken in this order: JSON lines compressed with zstandard, plain or gzipped JSON lines, one legacy JSON document of
+    parallel arrays (shorter arrays give nulls); else ``ArchiveError``.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path(folder))) if fs.exists(path(folder)) else []
+    row = "id string, document string, embedding array<float>, metadata map<string,string>"
+    if any(n.endswith(".jsonl.zst") for n in names):
+        lines = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl.zst").load(folder).select("content").mapInPandas(_lines, "value string")
+    elif any(n.endswith((".jsonl", ".jsonl.gz")) for n in names):
+        lines = spark.read.option("pathGlobFilter", "*.jsonl*").text(folder)
+    elif "chunks.json" in names:
+        legacy = "ids array<string>, documents array<string>, embeddings array<array<float>>, metadatas array<map<string,string>>"
+        whole = spark.read.schema(legacy).option("multiLine", True).json(f"{folder}/chunks.json")
+        empty = lambda c, t: F.coalesce(c, F.array().cast(t))
+        zipped = F.arrays_zip(
+            empty(F.col("ids"), "array<string>").alias("id"), empty(F.col("documents"), "array<string>").alias("document"),
+            empty(F.col("embeddings"), "array<array<float>>").alias("embedding"), empty(F.col("metadatas"), "array<map<string,string>>").alias("metadata"),
+        )
+        return whole.select(F.explode(zipped).alias("r")).select("r.id", "r.document", "r.embedding", "r.metadata").filter("id is not null")
+    else:
+        raise ArchiveError(f"no chunks in {folder}")
+    return lines.filter(F.trim("value") != "").select(F.from_json("value", row).alias("r")).select("r.*").filter("id is not null")
+
+
 def read_archive(spark: SparkSession, folder: str, stored: DataFrame, model: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """An archive's rows that an import accepts: of manuals whose id isn't stored; chunks only with an embedding.
 

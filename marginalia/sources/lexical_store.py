@@ -12,7 +12,6 @@ an index without documents answers nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from collections.abc import Sequence
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import lexical
 from marginalia.operators.library import LibraryError
+from marginalia.sources.manifest import Manifested, united
 
 _POST = "chunk_id string, manual_id string, dl int, term string, tf bigint, bucket int"
 _DOCS = "chunk_id string, manual_id string, dl int"
@@ -29,47 +29,14 @@ _DOCS = "chunk_id string, manual_id string, dl int"
 _SPREAD = 200_000
 
 
-class LexicalStore:
+class LexicalStore(Manifested):
     """One index in one folder of the shared file system."""
 
+    what = "lexical index"
+
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64) -> None:
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    # Manifests.
-    def _versions(self) -> list[int]:
-        at = self._path(f"{self.folder}/manifests")
-        if not self._fs.exists(at):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
-
-    def _read(self) -> dict:
-        versions = self._versions()
-        if not versions:
-            raise LibraryError("not_found", f"no lexical index in {self.folder}")
-        stream = self._fs.open(self._path(f"{self.folder}/manifests/{versions[-1]:09d}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode("utf-8")) | {"version": versions[-1]}
-        finally:
-            stream.close()
-
-    def _write(self, manifest: dict) -> None:
-        version = manifest.pop("version", 0) + 1
-        draft = self._path(f"{self.folder}/drafts/{os.urandom(8).hex()}")
-        stream = self._fs.create(draft, False)
-        stream.write(json.dumps(manifest).encode("utf-8"))
-        stream.close()
-        final = self._path(f"{self.folder}/manifests/{version:09d}.json")
-        self._fs.mkdirs(final.getParent())
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise LibraryError("invalid", f"{self.folder} was changed by another writer")
-
-    # Life cycle.
-    def exists(self) -> bool:
-        return bool(self._versions())
+        super().__init__(spark, folder)
+        self.buckets = buckets
 
     def create(self, chunks: DataFrame) -> None:
         """A new index of ``chunks`` (chunk_id, manual_id, content)."""
@@ -77,9 +44,6 @@ class LexicalStore:
             raise LibraryError("invalid", f"{self.folder} has an index already")
         self._write({"buckets": self.buckets, "segments": [self._segment(chunks)]})
 
-    def drop(self) -> None:
-        self._fs.delete(self._path(self.folder), True)
-
     def _segment(self, chunks: DataFrame) -> dict:
         once = chunks.filter(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.max(F.struct(F.coalesce("content", F.lit("")).alias("content"), "manual_id")).alias("r"))
         rows = once.select("chunk_id", "r.manual_id", "r.content")
@@ -114,40 +78,24 @@ class LexicalStore:
         self._write(self._without(self._read(), manuals))
 
     def _without(self, manifest: dict, manuals: DataFrame) -> dict:
-        name = f"gone-{os.urandom(8).hex()}"
-        manuals.select("manual_id").filter(F.col("manual_id").isNotNull()).distinct().write.parquet(f"{self.folder}/{name}")
+        name = self._listed(manuals, "manual_id")
         for segment in manifest["segments"]:
-            segment["gone"].append(name)
-            left = self._alive(self.spark.read.schema(_DOCS).parquet(f"{self.folder}/segments/{segment['name']}/docs"), segment)
+            segment["gone"].append(["manual_id", name])
+            left = self._alive(self.spark.read.schema(_DOCS).parquet(f"{self._base(segment)}/docs"), segment)
             segment["n_docs"], segment["total_tokens"] = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return manifest
 
-    def _alive(self, rows: DataFrame, segment: dict) -> DataFrame:
-        for name in segment["gone"]:
-            rows = rows.join(self.spark.read.schema("manual_id string").parquet(f"{self.folder}/{name}"), "manual_id", "left_anti")
-        return rows
-
     def optimize(self) -> None:
         """All segments as one, without what is gone; the files before stay until ``vacuum``."""
         manifest = self._read()
         name = os.urandom(8).hex()
         base = f"{self.folder}/segments/{name}"
         docs = [self._alive(self.spark.read.schema(_DOCS).parquet(f"{self.folder}/segments/{g['name']}/docs"), g) for g in manifest["segments"]]
-        _united(docs).write.parquet(f"{base}/docs")
+        united(docs).write.parquet(f"{base}/docs")
         n, total = sum(g["n_docs"] for g in manifest["segments"]), sum(g["total_tokens"] for g in manifest["segments"])
         self._posted(self.postings().drop("bucket"), base, n)
         self._write(manifest | {"segments": [{"name": name, "gone": [], "n_docs": n, "total_tokens": total}]})
 
-    def vacuum(self) -> None:
-        """Removes segments and lists that the newest manifest doesn't name.  Not while older readers run."""
-        manifest = self._read()
-        kept = {g["name"] for g in manifest["segments"]}
-        lists = {x for g in manifest["segments"] for x in g["gone"]}
-        for at, keep in ((f"{self.folder}/segments", kept), (self.folder, lists | {"segments", "manifests"})):
-            for f in self._fs.listStatus(self._path(at)):
-                if f.getPath().getName() not in keep:
-                    self._fs.delete(f.getPath(), True)
-
     # Reading.
     def _of(self, rows: DataFrame, terms: Sequence[str] | None) -> DataFrame:
         if terms is None:
@@ -160,7 +108,7 @@ class LexicalStore:
         manifest = self._read()
         self.buckets = manifest["buckets"]
         parts = [self._alive(self._of(self._stored(f"{self.folder}/segments/{g['name']}"), terms), g) for g in manifest["segments"]]
-        return _united(parts)
+        return united(parts)
 
     def term_stats(self, terms: Sequence[str] | None = None) -> DataFrame:
         """term and df: as stored, but counted anew in segments from which something is gone."""
@@ -173,7 +121,7 @@ class LexicalStore:
                 parts.append(lexical.term_stats(self._alive(self._of(self._stored(base), terms), g)))
             else:
                 parts.append(self._of(self.spark.read.schema("term string, df bigint, bucket int").parquet(f"{base}/terms"), terms).select("term", "df"))
-        return _united(parts).groupBy("term").agg(F.sum("df").alias("df"))
+        return united(parts).groupBy("term").agg(F.sum("df").alias("df"))
 
     def corpus_stats(self) -> DataFrame:
         """One row, from the manifest: n_docs and total_tokens."""
@@ -184,10 +132,3 @@ class LexicalStore:
     def search(self, terms: Sequence[str], manuals: Sequence[str] | DataFrame | None = None, ratio: float = lexical.MAX_DF_RATIO) -> DataFrame:
         """chunk_id and BM25 score of every chunk with a gated term."""
         return lexical.bm25(self.postings(terms), self.corpus_stats(), terms, manuals, ratio, self.term_stats(terms))
-
-
-def _united(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

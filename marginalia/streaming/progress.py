@@ -10,16 +10,20 @@ counts of a part only move forward, and queued forgets them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STAGES = ["queued", "skipped", "deferred", "converting", "converted", "embedding", "ingesting", "done", "failed", "unknown"]
 STALE_AFTER = 900.0
 TRUNCATE = 400
 
 EVENT = T.StructType(
-    [T.StructField(n, t) for n, t in (("ts", T.DoubleType()), ("event", T.StringType()), ("path", T.StringType()), ("stage", T.StringType()), ("part", T.IntegerType()), ("parts", T.IntegerType()), ("pages", T.IntegerType()), ("pages_done", T.IntegerType()), ("error", T.StringType()))]
+    [T.StructField(n, t) for n, t in (("seq", T.LongType()), ("ts", T.DoubleType()), ("event", T.StringType()), ("path", T.StringType()), ("stage", T.StringType()), ("part", T.IntegerType()), ("parts", T.IntegerType()), ("pages", T.IntegerType()), ("pages_done", T.IntegerType()), ("error", T.StringType()))]
 )
 
 
@@ -92,3 +96,85 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
 def stream_pages(events: DataFrame) -> DataFrame:
     """Running page counts of a stream: the maximum is commutative, so late and repeated events change nothing."""
     return events.filter(F.col("pages_done").isNotNull()).groupBy("path", F.coalesce("part", F.lit(0)).alias("part")).agg(F.max("pages_done").alias("pages_done"))
+
+
+_STATE = "last string, failed_seq bigint, n_parts int, pages int, converted array<int>, done map<int, int>"
+_FOLDED = "path string, stage string, failed_seq bigint, pages int, pages_done bigint"
+
+
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rules of ``file_states``, event by event, on what the state remembers of a path."""
+    last, failed, n_parts, pages, converted, done = state.get if state.exists else (None, None, None, None, [], {})
+    converted, done = set(converted), dict(done)
+    events = pd.concat(list(frames)).sort_values("seq", kind="stable")
+    known = lambda x: not pd.isna(x)
+    for seq, stage, part, parts, total, pages_done in events[["seq", "stage", "part", "parts", "pages", "pages_done"]].itertuples(index=False):
+        n_parts = int(parts) if known(parts) else n_parts
+        pages = int(total) if known(total) else pages
+        if stage == "queued":
+            failed, converted, done = None, set(), {}
+        if stage == "skipped":
+            failed = None
+        if stage == "failed" and failed is None:
+            failed = int(seq)
+        if stage == "converted":
+            if known(part):
+                converted.add(int(part))
+            if len(converted) >= (n_parts or 0):
+                last = stage
+        elif known(stage):
+            last = stage
+        if known(pages_done):
+            at = int(part) if known(part) else 0
+            done[at] = max(done.get(at, 0), int(pages_done))
+    state.update((last, failed, n_parts, pages, sorted(converted), done))
+    stage = "failed" if failed is not None else last or "unknown"
+    yield pd.DataFrame({"path": [key[0]], "stage": [stage], "failed_seq": [-1 if failed is None else failed], "pages": [-1 if pages is None else pages], "pages_done": [sum(done.values())]})
+
+
+def stream_states(events: DataFrame) -> DataFrame:
+    """Running state of every path of a stream, told anew whenever events of it arrive: see ``file_states``.
+
+    The state of a path is a few numbers per part.  Events of a micro-batch are ordered by seq; a log is appended to in
+    order, so no event comes in a later batch than one that follows it.
+    """
+    told = events.groupBy("path").applyInPandasWithState(_fold, _FOLDED, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return told.select("path", "stage", F.nullif("failed_seq", F.lit(-1)).alias("failed_seq"), F.nullif("pages", F.lit(-1)).alias("pages"), "pages_done")
+
+
+def tail(spark: SparkSession, log: str, state: dict | None = None, most: int = 8 << 20) -> tuple[list[str], dict]:
+    """New whole lines of an append-only file since ``state``, at most ``most`` bytes of them, and the state after.
+
+    A line without its end is held back.  A file that became shorter, or whose head changed, is read from its start.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = state or {"offset": 0, "head": ""}
+    if not fs.exists(path):
+        return [], {"offset": 0, "head": ""}
+    size = fs.getFileStatus(path).getLen()
+    stream = fs.open(path)
+    try:
+        head = bytes(stream.readNBytes(min(size, 1024))).hex()
+        offset = state["offset"] if size >= state["offset"] and head.startswith(state["head"]) else 0
+        stream.seek(offset)
+        data = bytes(stream.readNBytes(min(size - offset, most)))
+    finally:
+        stream.close()
+    whole = data.rfind(b"\n") + 1
+    return data[:whole].decode("utf-8", "replace").splitlines(), {"offset": offset + whole, "head": head}
+
+
+def feed(spark: SparkSession, log: str, folder: str, state: dict | None = None) -> dict:
+    """Moves what is new in ``log`` into ``folder`` as a file of its own, for ``read_log``; the state after."""
+    lines, after = tail(spark, log, state)
+    while lines:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_{after['offset']:015d}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        stream = fs.create(path, True)
+        stream.write("".join(f"{x}\n" for x in lines).encode("utf-8"))
+        stream.close()
+        # Sources don't see names with an underscore: a file appears when it is whole.
+        fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{after['offset']:015d}-{len(lines)}.json"))
+        lines, after = tail(spark, log, after)
+    return after
