@@ -9,11 +9,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.operators import outline
+from marginalia.operators import ordered, outline
 
 SIZE, OVERLAP, MARGIN = 2000, 200, 100
 MARKER_AREA, MARKER_REPEATS = 675.0, 10
@@ -134,27 +134,27 @@ def attach_markers(items: DataFrame) -> DataFrame:
 
     Markers that no text of their run follows stand alone at its end.
     """
-    w = Window.partitionBy("manual_id", "run").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    island = items.withColumn("island", F.sum(F.when(F.col("is_marker"), 0).otherwise(1)).over(w))
+    # A text and the markers before it have the same number of texts before them.
+    island = ordered.running_sum(items, F.when(F.col("is_marker"), 0).otherwise(1), ["manual_id", "run"], "seq", [], "island")
     listed = island.groupBy("manual_id", "run", "island").agg(F.max("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "is_marker", "text"))).alias("x"))
     return listed.select(
         "manual_id", "run", "seq", F.array_join(F.transform("x", lambda e: F.when(e["is_marker"], F.concat(F.lit("["), e["text"], F.lit("]"))).otherwise(e["text"])), " ").alias("text")
     )
 
 
-def chunk_items(items: DataFrame, marks: DataFrame) -> DataFrame:
-    """Items to chunks in reading order: manual_id, bookmark_id, kind, page, seq, piece, text.
+def chunk_buffers(items: DataFrame, marks: DataFrame) -> DataFrame:
+    """Items to buffers in reading order: manual_id, bookmark_id, kind, page, seq, run, text.
 
     The bookmark in effect comes from a heading's title, else from the position, else from the item before.  Runs of text
-    under one bookmark are one buffer, cut by tables and pictures; long buffers are split.
+    under one bookmark are one buffer, cut by tables and pictures, which are buffers of their own.
     """
     located = items.filter(F.col("page").isNotNull()).select("manual_id", "page", F.struct("manual_id", "seq").alias("item_id"), "top", "text", "label")
     named = outline.heading_match(located.filter(F.col("label").isin("section_header", "title")), marks).select("item_id", F.col("bookmark_id").alias("by_title"))
     placed = outline.asof_bookmark(located.select("manual_id", "page", "item_id", "top"), marks).select("item_id", F.col("bookmark_id").alias("by_place"))
     keyed = items.withColumn("item_id", F.struct("manual_id", "seq")).join(named, "item_id", "left").join(placed, "item_id", "left")
-    carried = outline.carry_forward(keyed.withColumn("own", F.coalesce("by_title", "by_place")), "own", ["manual_id"], ["seq"])
+    carried = ordered.carry_forward(keyed.withColumn("own", F.coalesce("by_title", "by_place")), "own", ["manual_id"], "seq", [])
     block = F.when(F.col("label").isin("table", "picture"), F.col("seq")).otherwise(F.lit(None).cast("int"))
-    flagged = outline.runs(carried.withColumn("block", block), ["carried", "block"], ["manual_id"], ["seq"])
+    flagged = ordered.runs(carried.withColumn("block", block), ["carried", "block"], ["manual_id"], "seq", [])
     own = F.when(F.col("label") == "picture", figure_text(F.col("caption"), F.col("labels"), F.col("description"), F.col("page"))).when(
         F.col("label") == "table", table_text(F.col("caption"), F.col("text"))
     ).otherwise(F.trim("text"))
@@ -163,6 +163,11 @@ def chunk_items(items: DataFrame, marks: DataFrame) -> DataFrame:
     buffers = spoken.groupBy("manual_id", "run").agg(
         F.first("bookmark_id").alias("bookmark_id"), F.first("kind").alias("kind"), F.min("page").alias("page"), F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("x")
     )
-    whole = buffers.withColumn("text", F.array_join(F.transform("x", lambda e: e["text"]), "\n\n")).withColumn("id", F.concat_ws(" ", "manual_id", "run"))
+    return buffers.withColumn("text", F.array_join(F.transform("x", lambda e: e["text"]), "\n\n")).drop("x")
+
+
+def chunk_items(items: DataFrame, marks: DataFrame) -> DataFrame:
+    """Items to chunks in reading order: manual_id, bookmark_id, kind, page, seq, piece, text: buffers, the long ones split."""
+    whole = chunk_buffers(items, marks).withColumn("id", F.concat_ws(" ", "manual_id", "run"))
     pieces = split_texts(whole)
     return whole.select("id", "manual_id", "bookmark_id", "kind", "page", "seq").join(pieces, "id").select("manual_id", "bookmark_id", "kind", "page", "seq", "piece", F.col("piece_text").alias("text"))

@@ -134,17 +134,3 @@ def resolve_tops(items: DataFrame, marks: DataFrame) -> DataFrame:
     m = marks.filter("page_top is null").select("manual_id", F.col("page_num").alias("page"), F.col("id").alias("bookmark_id"), F.lower("title").alias("t"))
     near = items.join(m, ["manual_id", "page"]).filter(F.lower("text").contains(F.col("t")))
     return near.groupBy("bookmark_id").agg(F.min_by("top", "seq").alias("page_top"))
-
-
-def carry_forward(rows: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
-    """``value`` of the last row that had one, up to and with the own row, as ``carried``."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("carried", F.last(value, ignorenulls=True).over(w))
-
-
-def runs(rows: DataFrame, change: list[str], keys: list[str], order: list[str]) -> DataFrame:
-    """Gaps and islands: ``run`` counts how often one of ``change`` has changed."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    now, before = F.struct(*change), F.lag(F.struct(*change)).over(w)
-    flagged = rows.withColumn("_c", F.when(before.isNull() | now.eqNullSafe(before), 0).otherwise(1))
-    return flagged.withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")

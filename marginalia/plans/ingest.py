@@ -11,6 +11,8 @@ from marginalia.plans.search import chunk_rows
 from marginalia.runtime import checkpoint_dir, table
 from marginalia.sources import documents as D
 
+c = F.col
+
 
 def _contents(s, d):
     docs = table(s, d, "documents")
@@ -33,6 +35,16 @@ def plan_batches(s, d):
     return D.batched(rows, 24_576)
 
 
+def batch_checks(s, d):
+    """What must hold of the batches: every chunk in one, and none over the budget but single texts."""
+    b = plan_batches(s, d)
+    # Arrow batches of different tasks may have the same number: tasks are told apart by what they hold.
+    sized = b.withColumn("task", F.spark_partition_id()).groupBy("task", "frame", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
+    over = sized.agg(F.count_if((c("n") > 1) & (c("n") * c("longest") > 24_576)).alias("over"))
+    # One row each.
+    return b.agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("id").alias("ids")).crossJoin(F.broadcast(over))
+
+
 def archive_roundtrip(s, d):
     """One folder's manuals exported and imported again: rows per member."""
     m = manuals(s, d).filter(F.col("relative_path").startswith("Tarvel OS/")).select(F.lower("id").alias("id"), "relative_path", "file_hash")
@@ -48,8 +60,9 @@ def archive_roundtrip(s, d):
 
 
 _M = "(SELECT DISTINCT lower(id) FROM m WHERE starts_with(relative_path, 'Tarvel OS/'))"
-QUERIES = {f.__name__: f for f in (fingerprint, parse_items, plan_batches, archive_roundtrip)}
+QUERIES = {f.__name__: f for f in (fingerprint, parse_items, plan_batches, batch_checks, archive_roundtrip)}
 SQL = {
+    "batch_checks": "SELECT count(DISTINCT id) AS texts, count(DISTINCT id) AS ids, 0::BIGINT AS over FROM chunks",
     "fingerprint": r"SELECT 'doc/' || doc_id || '.md' AS path, sha256(text) AS file_hash, CASE WHEN text IS NOT NULL THEN length(text) - length(replace(text, chr(12), '')) + 1 END AS page_count, CASE WHEN text IS NULL THEN 'ValueError: no content' END AS error FROM documents",
     "archive_roundtrip": f"""WITH m AS (SELECT id, arg_max(relative_path, struct_pack(u := updated_at, h := file_hash)) AS relative_path FROM manuals GROUP BY id)
 SELECT 'manuals' AS member, count(*) AS rows FROM m WHERE starts_with(relative_path, 'Tarvel OS/')

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.identifiers import id_key
 from marginalia.operators import chunking as C
 from marginalia.operators import library as L
+from marginalia.operators import ordered as R
 from marginalia.operators import outline as O
 from marginalia.plans import sqltext as T
 from marginalia.plans.search import chunk_rows, section_pairs
@@ -369,13 +370,12 @@ def figure_labels(s, d):
 def section_order(s, d):
     """Chunks of a manual in order: by chunk_index, else by the number in the id."""
     at = F.coalesce("chunk_index", F.nullif(F.regexp_extract("id", "_([0-9]+)$", 1), F.lit("")).try_cast("double"), F.lit(0.0))
-    return chunk_rows(s, d).select("id", (F.row_number().over(Window.partitionBy("manual_id").orderBy(at, "id")) - 1).alias("n"))
+    return R.numbered(chunk_rows(s, d).select("id", "manual_id", at.alias("at")), ["manual_id"], "at", ["id"], "n").select("id", "n")
 
 
 @query(f"WITH {IT} SELECT manual_id || '_' || (row_number() OVER (PARTITION BY manual_id ORDER BY seq) - 1) AS chunk_id, seq FROM it")
 def chunk_ids(s, d):
-    n = F.row_number().over(Window.partitionBy("manual_id").orderBy("seq")) - 1
-    return items(s, d).select(F.concat_ws("_", "manual_id", n).alias("chunk_id"), "seq")
+    return R.numbered(items(s, d).select("manual_id", "seq"), ["manual_id"], "seq", [], "n").select(F.concat_ws("_", "manual_id", "n").alias("chunk_id"), "seq")
 
 
 PARENT = f"WITH {B}, p AS (SELECT a.id, a.level, arg_max(struct_pack(i := q.id, l := q.level), struct_pack(o := q.ordering, i := q.id)) FILTER (q.id IS NOT NULL) AS r FROM b a LEFT JOIN b q ON q.manual_id = a.manual_id AND (q.ordering, q.id) < (a.ordering, a.id) AND q.level < a.level GROUP BY 1, 2)"
@@ -458,7 +458,7 @@ def resolve_top(s, d):
 @query(f"WITH {IT} SELECT manual_id, seq, last_value(CASE WHEN label = 'section_header' THEN text END IGNORE NULLS) OVER (PARTITION BY manual_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM it")
 def carry_bookmark(s, d):
     r = items(s, d).withColumn("head", F.when(c("label") == "section_header", c("text")))
-    return O.carry_forward(r, "head", ["manual_id"], ["seq"]).select("manual_id", "seq", "carried")
+    return R.carry_forward(r, "head", ["manual_id"], "seq", []).select("manual_id", "seq", "carried")
 
 
 RUNS = f"WITH {IT}, z AS (SELECT *, CASE WHEN lag(label) OVER w IS NOT NULL AND lag(label) OVER w IS DISTINCT FROM label THEN 1 ELSE 0 END AS ch FROM it WINDOW w AS (PARTITION BY manual_id ORDER BY seq)), r AS (SELECT *, sum(ch) OVER (PARTITION BY manual_id ORDER BY seq)::BIGINT AS run FROM z)"
@@ -466,12 +466,12 @@ RUNS = f"WITH {IT}, z AS (SELECT *, CASE WHEN lag(label) OVER w IS NOT NULL AND
 
 @query(RUNS + " SELECT manual_id, seq, run FROM r")
 def section_runs(s, d):
-    return O.runs(items(s, d), ["label"], ["manual_id"], ["seq"]).select("manual_id", "seq", "run")
+    return R.runs(items(s, d), ["label"], ["manual_id"], "seq", []).select("manual_id", "seq", "run")
 
 
 @query(RUNS + " SELECT manual_id, run, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM r WHERE label = 'text' GROUP BY 1, 2")
 def section_text(s, d):
-    r = O.runs(items(s, d), ["label"], ["manual_id"], ["seq"]).filter("label = 'text'")
+    r = R.runs(items(s, d), ["label"], ["manual_id"], "seq", []).filter("label = 'text'")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n")
     return r.groupBy("manual_id", "run").agg(whole.alias("text"))
 
@@ -546,7 +546,7 @@ def section_markdown(s, d):
     inside = section_pairs(s, d).unionByName(chunks.select(c("sub").alias("bookmark_id"), "sub")).distinct()
     seq = F.regexp_extract("id", "_([0-9]+)$", 1).cast("int")
     r = chunks.select("id", "sub", seq.alias("seq"), F.coalesce(c("kind") == "figure", F.lit(False)).alias("fig"), "document", "figure_id", "page").join(inside, "sub")
-    flagged = O.runs(r, ["fig"], ["bookmark_id"], ["seq", "id"])
+    flagged = R.runs(r, ["fig"], ["bookmark_id"], "seq", ["id"])
     at = F.struct("seq", "id")
     texts = flagged.filter("not fig").groupBy("bookmark_id", "run").agg(F.min(at).alias("at"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", "document"))), lambda x: x["document"]).alias("t"))
     head = F.when(c("figure_id").isNull(), "[Figure (page ").otherwise(F.concat(F.lit("[Figure: "), "figure_id", F.lit(" (page ")))
@@ -555,6 +555,43 @@ def section_markdown(s, d):
     return blocks.groupBy("bookmark_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n\n").alias("markdown"))
 
 
+_OWN = """h AS (SELECT manual_id, seq, page, {H} AS t FROM it WHERE label = 'section_header'), u AS (SELECT *, {U} AS u FROM b),
+named AS (SELECT h.manual_id, seq, arg_min(id, struct_pack(x := t <> u, o := ordering, i := id)) AS bm FROM h JOIN u ON u.manual_id = h.manual_id AND u.page_num = h.page
+  WHERE t <> '' AND u <> '' AND (t = u OR (least(length(t), length(u)) >= 3 AND (contains(t, u) OR contains(u, t)))) GROUP BY 1, 2),
+placed AS (SELECT it.manual_id, seq, arg_min(b.id, struct_pack(t := coalesce(page_top, -1), o := -ordering, i := b.id)) AS bm FROM it JOIN b ON b.manual_id = it.manual_id AND b.page_num = it.page
+  WHERE top < coalesce(page_top, -1) + 10 GROUP BY 1, 2),
+ca AS (SELECT it.*, last_value(coalesce(named.bm, placed.bm) IGNORE NULLS) OVER (PARTITION BY it.manual_id ORDER BY it.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bm
+  FROM it LEFT JOIN named USING (manual_id, seq) LEFT JOIN placed USING (manual_id, seq)),
+la AS (SELECT *, row_number() OVER w AS n, lag(bm) OVER w AS bm0, CASE WHEN label IN ('table', 'picture') THEN seq END AS bl, lag(CASE WHEN label IN ('table', 'picture') THEN seq END) OVER w AS bl0 FROM ca WINDOW w AS (PARTITION BY manual_id ORDER BY seq)),
+ru AS (SELECT *, sum(CASE WHEN n > 1 AND (bm IS DISTINCT FROM bm0 OR bl IS DISTINCT FROM bl0) THEN 1 ELSE 0 END) OVER (PARTITION BY manual_id ORDER BY seq)::BIGINT AS run FROM la),
+sp AS (SELECT manual_id, run, seq, bm, page, CASE label WHEN 'picture' THEN 'figure' WHEN 'table' THEN 'table' ELSE 'text' END AS kind,
+  CASE WHEN label = 'picture' THEN coalesce(nullif(text, ''), 'Figure on page ' || page) WHEN label = 'table' THEN nullif(text, '') ELSE trim(text, ' ') END AS text FROM ru)"""
+
+
+@query(f"WITH {B}, {IT}, " + _OWN.replace("{H}", _norm("text")).replace("{U}", _norm("title")) + " SELECT manual_id, any_value(bm) AS bookmark_id, any_value(kind) AS kind, min(page) AS page, min(seq) AS seq, run, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM sp WHERE text <> '' GROUP BY manual_id, run")
+def chunk_buffers(s, d):
+    """Chunks before the long ones are split: texts under the bookmark in effect, tables and pictures apart."""
+    return C.chunk_buffers(items(s, d), marks(s, d))
+
+
+@query(f"WITH {T.CHUNKS} SELECT id, true AS bounded, true AS ends_kept, true AS covered FROM c WHERE regexp_matches(document, '[^\\s\\x{{A0}}\\x{{202F}}\\x{{3000}}]')".replace("\\\\", "\\"))
+def split_checks(s, d):
+    """What must hold of every split text: no piece over the size, the first and last piece are its ends, and pieces leave nothing out."""
+    size = 400
+    rows = chunk_rows(s, d).select("id", c("document").alias("text"))
+    pieces = C.split_texts(rows, size, 40).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "piece_text"))).alias("p"))
+    text = F.regexp_replace("text", f"^[{O.SPACE}]+|[{O.SPACE}]+$", "")
+    bare = lambda x: F.regexp_replace(x, f"[{O.SPACE}]", "")
+    texts = F.transform("p", lambda x: x["piece_text"])
+    both = pieces.join(rows, "id")
+    # Every piece stands in the text, and together they have at least its characters.
+    inside = F.forall(texts, lambda x: text.contains(x))
+    return both.select(
+        "id", F.forall(texts, lambda x: F.length(x) <= size).alias("bounded"), (text.startswith(texts[0]) & text.endswith(F.element_at(texts, -1))).alias("ends_kept"),
+        (inside & (F.length(bare(F.array_join(texts, ""))) >= F.length(bare(text)))).alias("covered"),
+    )
+
+
 @query()
 def chunk_document(s, d):
     return C.chunk_items(items(s, d), marks(s, d))
@@ -573,6 +610,6 @@ def ingest_pipeline(s, d):
     """Items to chunks with ids and postings, and the commit marker per manual: what a build writes, in that order."""
     from marginalia.operators import lexical
 
-    chunks = C.chunk_items(items(s, d), marks(s, d)).withColumn("n", F.row_number().over(Window.partitionBy("manual_id").orderBy("seq", "piece")) - 1)
+    chunks = R.numbered(C.chunk_items(items(s, d), marks(s, d)), ["manual_id"], "seq", ["piece"], "n")
     named = chunks.select(F.concat_ws("_", "manual_id", "n").alias("chunk_id"), "manual_id", c("text").alias("content"))
     return lexical.postings(named).groupBy("manual_id").agg(F.countDistinct("chunk_id").alias("chunks"), F.sum("tf").alias("tokens"))
