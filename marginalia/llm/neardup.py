@@ -132,6 +132,10 @@ class _Pairs:
     def take(self, rows: list[np.ndarray], last: bool) -> pa.RecordBatch | None:
         """Pairs of all buckets that are complete; the open one is kept, unless it is hot: then its members are passed on."""
         b, c, n = (np.concatenate(x) for x in zip(self.held, rows))
+        if len(b):
+            # Copies from different tasks are neighbours here.
+            new = np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+            b, c, n = b[new], c[new], n[new]
         left, right, members = [], [], []
         if len(b):
             starts = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1])
@@ -179,7 +183,7 @@ def _paired(how: Likeness):
 def _candidates(sketched: DataFrame, how: Likeness) -> DataFrame:
     """Sketches (cls, n, bands) to pairs a < b of one bucket, or (member, null) for members of a hot one."""
     rows = sketched.select("cls", "n", "bands").mapInArrow(_thinned(how), "bucket bigint, cls bigint, n int")
-    once = rows.filter("bucket is not null").repartition("bucket").dropDuplicates(["bucket", "cls"]).sortWithinPartitions("bucket", "cls")
+    once = rows.filter("bucket is not null").repartition("bucket").sortWithinPartitions("bucket", "cls")
     crowd = rows.filter("bucket is null").select(F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"))
     return once.mapInArrow(_paired(how), "a bigint, b bigint").unionByName(crowd).distinct()
 
