@@ -142,7 +142,7 @@ def attach_markers(items: DataFrame) -> DataFrame:
     )
 
 
-def chunk_buffers(items: DataFrame, marks: DataFrame) -> DataFrame:
+def chunk_buffers(items: DataFrame, marks: DataFrame, cut) -> DataFrame:
     """Items to buffers in reading order: manual_id, bookmark_id, kind, page, seq, run, text.
 
     The bookmark in effect comes from a heading's title, else from the position, else from the item before.  Runs of text
@@ -152,7 +152,9 @@ def chunk_buffers(items: DataFrame, marks: DataFrame) -> DataFrame:
     named = outline.heading_match(located.filter(F.col("label").isin("section_header", "title")), marks).select("item_id", F.col("bookmark_id").alias("by_title"))
     placed = outline.asof_bookmark(located.select("manual_id", "page", "item_id", "top"), marks).select("item_id", F.col("bookmark_id").alias("by_place"))
     keyed = items.withColumn("item_id", F.struct("manual_id", "seq")).join(named, "item_id", "left").join(placed, "item_id", "left")
-    carried = ordered.carry_forward(keyed.withColumn("own", F.coalesce("by_title", "by_place")), "own", ["manual_id"], "seq", [])
+    # Written once: blocks and their summaries read it, and carrying and counting would each double the work before them.
+    own = cut(keyed.withColumn("own", F.coalesce("by_title", "by_place")).drop("item_id", "by_title", "by_place"))
+    carried = ordered.carry_forward(own, "own", ["manual_id"], "seq", [])
     block = F.when(F.col("label").isin("table", "picture"), F.col("seq")).otherwise(F.lit(None).cast("int"))
     flagged = ordered.runs(carried.withColumn("block", block), ["carried", "block"], ["manual_id"], "seq", [])
     own = F.when(F.col("label") == "picture", figure_text(F.col("caption"), F.col("labels"), F.col("description"), F.col("page"))).when(
@@ -166,8 +168,8 @@ def chunk_buffers(items: DataFrame, marks: DataFrame) -> DataFrame:
     return buffers.withColumn("text", F.array_join(F.transform("x", lambda e: e["text"]), "\n\n")).drop("x")
 
 
-def chunk_items(items: DataFrame, marks: DataFrame) -> DataFrame:
+def chunk_items(items: DataFrame, marks: DataFrame, cut) -> DataFrame:
     """Items to chunks in reading order: manual_id, bookmark_id, kind, page, seq, piece, text: buffers, the long ones split."""
-    whole = chunk_buffers(items, marks).withColumn("id", F.concat_ws(" ", "manual_id", "run"))
+    whole = cut(chunk_buffers(items, marks, cut).withColumn("id", F.concat_ws(" ", "manual_id", "run")))
     pieces = split_texts(whole)
     return whole.select("id", "manual_id", "bookmark_id", "kind", "page", "seq").join(pieces, "id").select("manual_id", "bookmark_id", "kind", "page", "seq", "piece", F.col("piece_text").alias("text"))

@@ -546,6 +546,7 @@ def section_markdown(s, d):
     inside = section_pairs(s, d).unionByName(chunks.select(c("sub").alias("bookmark_id"), "sub")).distinct()
     seq = F.regexp_extract("id", "_([0-9]+)$", 1).cast("int")
     r = chunks.select("id", "sub", seq.alias("seq"), F.coalesce(c("kind") == "figure", F.lit(False)).alias("fig"), "document", "figure_id", "page").join(inside, "sub")
+    r = cut(r)  # read for the blocks and for their summaries
     flagged = R.runs(r, ["fig"], ["bookmark_id"], "seq", ["id"])
     at = F.struct("seq", "id")
     texts = flagged.filter("not fig").groupBy("bookmark_id", "run").agg(F.min(at).alias("at"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", "document"))), lambda x: x["document"]).alias("t"))
@@ -571,7 +572,7 @@ sp AS (SELECT manual_id, run, seq, bm, page, CASE label WHEN 'picture' THEN 'fig
 @query(f"WITH {B}, {IT}, " + _OWN.replace("{H}", _norm("text")).replace("{U}", _norm("title")) + " SELECT manual_id, any_value(bm) AS bookmark_id, any_value(kind) AS kind, min(page) AS page, min(seq) AS seq, run, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM sp WHERE text <> '' GROUP BY manual_id, run")
 def chunk_buffers(s, d):
     """Chunks before the long ones are split: texts under the bookmark in effect, tables and pictures apart."""
-    return C.chunk_buffers(items(s, d), marks(s, d))
+    return C.chunk_buffers(items(s, d), marks(s, d), cut)
 
 
 @query(f"WITH {T.CHUNKS} SELECT id, true AS bounded, true AS ends_kept, true AS covered FROM c WHERE regexp_matches(document, '[^\\s\\x{{A0}}\\x{{202F}}\\x{{3000}}]')".replace("\\\\", "\\"))
@@ -594,7 +595,7 @@ def split_checks(s, d):
 
 @query()
 def chunk_document(s, d):
-    return C.chunk_items(items(s, d), marks(s, d))
+    return C.chunk_items(items(s, d), marks(s, d), cut)
 
 
 @query("SELECT id, json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.page') AS page FROM (SELECT DISTINCT id, to_json(struct_pack(\"type\" := metadata.\"type\", page := metadata.page)) AS j FROM chunks)")
@@ -610,6 +611,6 @@ def ingest_pipeline(s, d):
     """Items to chunks with ids and postings, and the commit marker per manual: what a build writes, in that order."""
     from marginalia.operators import lexical
 
-    chunks = R.numbered(C.chunk_items(items(s, d), marks(s, d)), ["manual_id"], "seq", ["piece"], "n")
+    chunks = R.numbered(C.chunk_items(items(s, d), marks(s, d), cut), ["manual_id"], "seq", ["piece"], "n")
     named = chunks.select(F.concat_ws("_", "manual_id", "n").alias("chunk_id"), "manual_id", c("text").alias("content"))
     return lexical.postings(named).groupBy("manual_id").agg(F.countDistinct("chunk_id").alias("chunks"), F.sum("tf").alias("tokens"))

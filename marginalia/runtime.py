@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Read from ``spark.checkpoint.dir``.  Only a session in local mode that names none gets a folder of its own;
-    on a cluster a machine-local folder would lose data with the machine, so that is an error.
+    Read from ``spark.checkpoint.dir``.  Only a session in local mode that names none gets a folder of its own, which is
+    removed when the program ends; what is written to a named folder is left to its owner's rules.  On a cluster a machine-local folder would lose data with the machine, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -26,7 +28,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not named:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            named = os.path.join(tempfile.gettempdir(), "marginalia-checkpoints")
+            named = tempfile.mkdtemp(prefix="marginalia-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 

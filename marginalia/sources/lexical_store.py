@@ -16,7 +16,7 @@ import os
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import lexical
@@ -49,8 +49,10 @@ class LexicalStore(Manifested):
         rows = once.select("chunk_id", "r.manual_id", "r.content")
         name = os.urandom(8).hex()
         base = f"{self.folder}/segments/{name}"
-        rows.select("chunk_id", "manual_id", F.size(lexical.tokens(F.col("content"))).alias("dl")).write.parquet(f"{base}/docs")
-        totals = self.spark.read.schema(_DOCS).parquet(f"{base}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        seen = Observation()
+        docs = rows.select("chunk_id", "manual_id", F.size(lexical.tokens(F.col("content"))).alias("dl"))
+        docs.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.parquet(f"{base}/docs")
+        totals = (seen.get["n"], seen.get["total"])
         self._posted(lexical.postings(rows), base, totals[0])
         return {"name": name, "gone": [], "n_docs": totals[0], "total_tokens": totals[1]}
 

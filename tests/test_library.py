@@ -99,7 +99,7 @@ def test_chunk_items(spark):
         ("m", 6, "text", "P" * 2500, 2, 700.0, None, None, None),
     ]
     marks = spark.createDataFrame([("m", 1, "b1", 710.0, 0, "Start"), ("m", 2, "b2", 720.0, 1, "Next")], "manual_id string, page_num int, id string, page_top double, ordering int, title string")
-    got = [(r.bookmark_id, r.kind, len(r.text), r.text[:30]) for r in C.chunk_items(spark.createDataFrame(rows, cols), marks).orderBy("seq", "piece").collect()]
+    got = [(r.bookmark_id, r.kind, len(r.text), r.text[:30]) for r in C.chunk_items(spark.createDataFrame(rows, cols), marks, cut).orderBy("seq", "piece").collect()]
     assert got == [
         ("b1", "text", 24, "1 Start\n\nalpha\n\nfloating"), ("b1", "figure", 24, "Fig\n\nLabels: Pump, Valve"), ("b1", "figure", 16, "Figure on page 1"), ("b1", "table", 8, "Cap\n\n|a|"),
         ("b2", "text", 2000, "P" * 30), ("b2", "text", 700, "P" * 30),
