@@ -61,7 +61,17 @@ def archive_roundtrip(s, d):
 
 _M = "(SELECT DISTINCT lower(id) FROM m WHERE starts_with(relative_path, 'Tarvel OS/'))"
 QUERIES = {f.__name__: f for f in (fingerprint, parse_items, plan_batches, batch_checks, archive_roundtrip)}
+_SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SQL = {
+    "parse_items": rf"""
+WITH pages AS (SELECT doc_id, unnest(string_split(text, chr(12))) AS page, unnest(range(1, len(string_split(text, chr(12))) + 1)) AS p FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, p, string_split_regex(page, '\n[ \t]*\n') AS b FROM pages),
+blocks AS (SELECT doc_id, p, unnest(list_filter(b, lambda x: regexp_matches(x, '[^{_SPACE}]'))) AS b, unnest(range(0, len(list_filter(b, lambda x: regexp_matches(x, '[^{_SPACE}]'))))) AS k FROM parts),
+bare AS (SELECT *, regexp_replace(b, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS t FROM blocks),
+head AS (SELECT *, regexp_matches(t, '^#{{1,6}}[{_SPACE}]+') AS h, regexp_matches(b, '^[{_SPACE}]*[|]') AS bar FROM bare)
+SELECT 'doc/' || doc_id || '.md' AS path, (row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1)::INT AS seq, CASE WHEN h THEN 'section_header' WHEN bar THEN 'table' ELSE 'text' END AS label,
+  CASE WHEN h THEN regexp_extract(t, '^#{{1,6}}[{_SPACE}]+([^\n]*)', 1) ELSE t END AS text, p::INT AS page, 800.0::DOUBLE - 10.0::DOUBLE * k AS top, NULL::VARCHAR AS error FROM head
+UNION ALL SELECT 'doc/' || doc_id || '.md', NULL, NULL, NULL, NULL, NULL, 'ValueError: no content' FROM documents WHERE text IS NULL""",
     "batch_checks": "SELECT count(DISTINCT id) AS texts, count(DISTINCT id) AS ids, 0::BIGINT AS over FROM chunks",
     "fingerprint": r"SELECT 'doc/' || doc_id || '.md' AS path, sha256(text) AS file_hash, CASE WHEN text IS NOT NULL THEN length(text) - length(replace(text, chr(12), '')) + 1 END AS page_count, CASE WHEN text IS NULL THEN 'ValueError: no content' END AS error FROM documents",
     "archive_roundtrip": f"""WITH m AS (SELECT id, arg_max(relative_path, struct_pack(u := updated_at, h := file_hash)) AS relative_path FROM manuals GROUP BY id)

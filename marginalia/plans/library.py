@@ -289,13 +289,13 @@ def import_accept(s, d):
     return chunk_rows(s, d).filter(c("embedding").isNotNull() & (F.size("embedding") > 0)).join(new, "manual_id", "left_semi").select("id")
 
 
-@query("SELECT item_id, i AS n, string_split(text, ' ')[i + 1] AS word, CASE WHEN i % 3 > 0 THEN i END AS extra FROM (SELECT item_id, text, unnest(range(0, len(string_split(text, ' ')))) AS i FROM eval_items)")
+@query("SELECT id, i AS n, string_split(title, ' ')[i + 1] AS word, CASE WHEN i % 3 > 0 THEN i END AS extra FROM (SELECT id, title, unnest(range(0, len(string_split(title, ' ')))) AS i FROM (SELECT DISTINCT id, title FROM bookmarks))")
 def legacy_zip(s, d):
     """Parallel arrays to rows; a shorter array gives nulls."""
-    words = F.split("text", " ")
+    words = F.split("title", " ")
     extra = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.when(i % 3 > 0, i))
-    r = table(s, d, "eval_items").select("item_id", F.posexplode(F.arrays_zip(words.alias("w"), extra.alias("e"))).alias("n", "x"))
-    return r.select("item_id", "n", c("x.w").alias("word"), c("x.e").alias("extra"))
+    r = table(s, d, "bookmarks").select("id", "title").distinct().select("id", F.posexplode(F.arrays_zip(words.alias("w"), extra.alias("e"))).alias("n", "x"))
+    return r.select("id", "n", c("x.w").alias("word"), c("x.e").alias("extra"))
 
 
 @query(f"WITH {M}, s AS (SELECT relative_path, greatest(coalesce(page_count, 1), 1) AS p, ceil(greatest(coalesce(page_count, 1), 1) / 250.0)::INT AS n FROM m), q AS (SELECT *, unnest(range(0, n))::INT AS part FROM s) SELECT relative_path, part, part * (p // n) + least(part, p % n) + 1 AS start_page, part * (p // n) + least(part, p % n) + p // n + CASE WHEN part < p % n THEN 1 ELSE 0 END AS end_page FROM q")

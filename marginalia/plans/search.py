@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.identifiers import id_key
 from marginalia.operators import fusion, lexical, outline, search, vectors
+from marginalia.operators.library import LibraryError
 from marginalia.plans import sqltext as T
 from marginalia.runtime import checkpoint_dir, stamp, table
 from marginalia.sources import embedders
@@ -54,7 +55,11 @@ def stored_index(spark: SparkSession, d: str) -> LexicalStore:
     """The stored index of the chunks as they are now; made if there is none yet."""
     store = LexicalStore(spark, f"{checkpoint_dir(spark)}/lexical-{stamp(spark, d, 'chunks')}")
     if not store.exists():
-        store.create(index_rows(spark, d))
+        try:
+            store.create(index_rows(spark, d))
+        except LibraryError:
+            if not store.exists():  # another query may have made it meanwhile
+                raise
     return store
 
 

@@ -86,6 +86,15 @@ def parse_items(contents: DataFrame, parser: DocumentParser) -> DataFrame:
     return contents.select("path", "content").mapInPandas(run, ITEM)
 
 
+def write_markdown(items: DataFrame, folder: str) -> None:
+    """``items`` (path, seq, label, text) as one Markdown text per path, in a folder ``path=...`` each; failed files have none."""
+    shown = F.when(F.col("label") == "section_header", F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
+    told = items.filter(F.col("text").isNotNull()).select("path", "seq", shown.alias("value"))
+    # A blank line behind each; rows of a path lie together, in order.
+    lines = told.withColumn("value", F.concat("value", F.lit("\n"))).repartition("path").sortWithinPartitions("path", "seq")
+    lines.select("path", "value").write.partitionBy("path").text(folder)
+
+
 def plan_batches(lengths: Sequence[int], budget: int) -> list[list[int]]:
     """Positions in batches whose longest text times their number stays within ``budget``; longest first, every position once.
 

@@ -45,3 +45,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "y.txt").write_bytes(b"abc")
     assert [r.length for r in D.files(spark, str(tmp_path), "*.pdf").select("length").collect()] == [3]
     assert D.files(spark, str(tmp_path), "*.pdf").select(F.sha2("content", 256)).count() == 1
+
+
+def test_markdown_dump(spark, tmp_path):
+    rows = [("a.md", 1, "text", "body"), ("a.md", 0, "section_header", "Head"), ("b.md", 0, "text", "other"), ("c.md", None, None, None)]
+    D.write_markdown(spark.createDataFrame(rows, "path string, seq int, label string, text string"), str(tmp_path / "md"))
+    got = {p.parent.name: p.read_text() for p in (tmp_path / "md").glob("*/*.txt")}
+    assert got == {"path=a.md": "# Head\n\nbody\n\n", "path=b.md": "other\n\n"}
