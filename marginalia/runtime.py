@@ -20,7 +20,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     Read from ``spark.checkpoint.dir``.  Only a session in local mode that names none gets a folder of its own, which is
-    removed when the program ends; what is written to a named folder is left to its owner's rules.  On a cluster a machine-local folder would lose data with the machine, so that is an error.
+    removed when the program ends; what is written to a named folder is left to its owner's rules.  On a cluster a
+    machine-local folder would lose data with the machine, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
