@@ -1,6 +1,16 @@
 """Most similar vectors for every vector.
 
-Method: permutation index.  A vector is represented by the order of its nearest pivots.  It is posted in the inverted
+Method: permutation index, completed by an exact pass.  The index alone may lose neighbours, as a vector is posted in few
+files and a query visits few; so it only gives every query a lower bound, the cosine of its k-th best partner there (or
+``least``), and the exact pass finds all partners that reach the bound.  Whatever the index drops, nothing is lost.
+
+Exact pass: the distinct vectors are packed into blocks of some ``block_rows``, written once, and every pair of blocks is
+compared by matrix products, tile by tile.  Where a tile's bounds are high (``short_from``), a product over fewer dimensions,
+those of most variance, rules most pairs out first: what is missing of a cosine is at most the product of the lengths of the
+rests (Cauchy-Schwarz).  Both tests are passed with room for single precision, and what passes is computed anew in double.
+Comparisons are as many as pairs (searched vectors times all), so this pass grows with the square of the collection.
+
+The index.  A vector is represented by the order of its nearest pivots.  It is posted in the inverted
 files of its ``posts`` nearest pivots together with that order; a query visits the files of its own ``visits`` nearest
 pivots, ranks the postings there by the Spearman footrule distance of the orders (a pivot missing from an order counts
 as placed behind it) and reranks the best ``shortlist`` by exact cosine.
@@ -57,6 +67,8 @@ class Index:
     least: float = -1.0  #: smallest cosine reported
     file_rows: int = 4096
     max_pivots: int = 16_384  #: at most 65,536: their numbers travel in two bytes
+    block_rows: int = 16_384  #: vectors of a block of the exact pass
+    short_from: float = 0.8  #: bound of cosines from which fewer dimensions are compared first
 
     def pivots(self, n: int) -> int:
         return int(min(self.max_pivots, max(16, min(16 * n**0.5, n / 8)), max(1, n)))
@@ -334,7 +346,7 @@ def _search(how: Index):
 
 def neighbours(vectors: DataFrame, how: Index, cut) -> tuple[DataFrame, DataFrame]:
     """``vectors`` (id, embedding, and query: whether it is searched for) to members (cls, id, query) and the nearest
-    classes of every searched class (q, c, sim), at least the k best that the index finds."""
+    classes of every searched class (q, c, sim): at least the k best of all that have ``least``."""
     spark = vectors.sparkSession
     valid = vectors.filter(usable(F.col("embedding"), how.dim)).select("id", F.coalesce("query", F.lit(False)).alias("query"), F.col("embedding").cast("array<float>").alias("embedding"))
     keyed = valid.withColumn("cls", F.xxhash64("embedding"))
@@ -357,8 +369,189 @@ def neighbours(vectors: DataFrame, how: Index, cut) -> tuple[DataFrame, DataFram
         blocks[r["file"]] = -(-r["n"] // how.file_rows)
     postings = one.mapInArrow(_post(how, pivots, spark.sparkContext.broadcast(blocks)), _POSTING)
     placed = postings.repartition("file", "sub", "cell").sortWithinPartitions("file", "sub", "cell", "pivots", "cls")
-    found = placed.mapInArrow(_search(how), "q bigint, c bigint, sim double")
-    return members, found.groupBy("q", "c").agg(F.max("sim").alias("sim"))
+    found = placed.mapInArrow(_search(how), "q bigint, c bigint, sim double").groupBy("q", "c").agg(F.max("sim").alias("sim"))
+    return members, _all_pairs(keyed, found, n, _axes(base), how, cut)
+
+
+#: Partitions of the blocks at most; every pair of partitions is a task.
+_SIDES = 64
+#: Rows and columns of a tile of cosines, which stays in the processor's cache.
+_TILE = (512, 1024)
+#: What single precision may be wrong by.
+_ROOM = 1e-5
+#: The bound of a vector that isn't searched for: no cosine reaches it.
+_NEVER = 2.0
+
+
+def _axes(base: np.ndarray) -> np.ndarray:
+    """Orthonormal axes, those along which the sample varies most first."""
+    wide = base.astype(np.float64)
+    return np.linalg.eigh(wide.T @ wide)[1][:, ::-1]
+
+
+def _all_pairs(keyed: DataFrame, found: DataFrame, n: int, axes: np.ndarray, how: Index, cut) -> DataFrame:
+    """All pairs (q, c, sim) of a searched class and another one that are as similar as the k-th best of ``found`` of that
+    class, if it has as many, and ``least`` at least; far more than the k best of a class may be left out."""
+    best = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
+    lows = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= how.k).groupBy("q").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == how.k)
+    rows = keyed.select("cls", "query", "embedding", F.lit(None).cast("double").alias("low")).unionByName(
+        lows.select(F.col("q").alias("cls"), F.lit(False).alias("query"), F.lit(None).cast("array<float>").alias("embedding"), "low")
+    )
+    parts = int(min(_SIDES, max(1, -(-n // how.block_rows))))
+    one = rows.repartition(parts, "cls").groupBy("cls").agg(F.max("query").alias("query"), F.first("embedding", ignorenulls=True).alias("embedding"), F.max("low").alias("low"))
+    # The index may have rounded the same cosine the other way.
+    low = F.when(F.col("query"), F.greatest(F.lit(float(how.least)), F.coalesce(F.col("low") - 1e-12, F.lit(float(how.least))))).otherwise(F.lit(_NEVER))
+    packed = cut(one.select("cls", low.alias("low"), "embedding", F.spark_partition_id().alias("part")).mapInArrow(_pack(how, parts), "block bigint, cls binary, low binary, vector binary"))
+    a, b = (packed.select(*(F.col(c).alias(side + c) for c in packed.columns)) for side in "ab")
+    # Every pair of blocks meets once, and each task has about half of its pairs.
+    x, y = F.col("ablock"), F.col("bblock")
+    met = a.hint("shuffle_replicate_nl").join(b, (x == y) | ((x != y) & ((x < y) == ((x + y) % 2 == 0))))
+    return met.mapInArrow(_compare(how, axes), "q bigint, c bigint, sim double")
+
+
+def _pack(how: Index, parts: int):
+    """Vectors to blocks of a quarter more than ``block_rows`` at most, in each the lowest bounds first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = how.block_rows + how.block_rows // 4 + 1
+        held: list[pa.RecordBatch] = []
+        rows = made = 0
+
+        def block(table: pa.Table) -> pa.RecordBatch:
+            low, cls = table.column("low").to_numpy(), table.column("cls").to_numpy()
+            order = np.lexsort((cls, low))
+            number = table.column("part")[0].as_py() + parts * made
+            content = (cls[order].astype(np.int64), low[order].astype(np.float64), _matrix(table.column("embedding"), how.dim)[order])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in content)], ["block", "cls", "low", "vector"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                piece = batch.slice(at, most - rows)
+                held.append(piece)
+                at, rows = at + piece.num_rows, rows + piece.num_rows
+                if rows == most:
+                    yield block(pa.Table.from_batches(held))
+                    held, rows, made = [], 0, made + 1
+        if rows:
+            yield block(pa.Table.from_batches(held))
+
+    return run
+
+
+class _Block:
+    """A block as it is compared: classes, bounds, vectors in double and single precision, and their short forms."""
+
+    def __init__(self, number: int, cls: bytes, low: bytes, vector: bytes, how: Index, axes: np.ndarray) -> None:
+        self.number, self.cls, self.low = number, np.frombuffer(cls, np.int64), np.frombuffer(low, np.float64).copy()
+        self.unit = _unit(np.frombuffer(vector, np.float32).reshape(-1, how.dim))
+        self.single = self.unit.astype(np.float32)
+        # Most variance first; the length of the rest is one more number.
+        head = self.unit @ axes[:, : max(1, 5 * how.dim // 16)]
+        rest = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", head, head)))
+        self.short = np.column_stack([head, rest]).astype(np.float32)
+
+
+def _reached(a: np.ndarray, b: np.ndarray, low: np.ndarray | float, sims: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the products of ``a`` and ``b`` that reach ``low``; ``sims`` and ``flags`` are room to work in."""
+    rows, columns = len(a), len(b)
+    if sims.shape != (rows, columns):
+        return np.nonzero(a @ b.T >= low)
+    np.matmul(a, b.T, out=sims)
+    np.greater_equal(sims, low, out=flags)
+    # Few are: eight flags at a time are looked through first.
+    eights = np.flatnonzero(flags.reshape(-1).view(np.uint64))
+    at, bit = np.nonzero(flags.reshape(-1, 8)[eights])
+    return np.divmod(eights[at] * 8 + bit, columns)
+
+
+class _Best:
+    """Pairs found for the rows of one block, cut back to the k best of a row, equal ones kept, whenever they are many."""
+
+    def __init__(self, block: _Block, k: int) -> None:
+        self.low, self.k = block.low, k
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.rows, self.after = 0, 200_000
+
+    def add(self, q: np.ndarray, c: np.ndarray, sim: np.ndarray) -> None:
+        enough = sim >= self.low[q]
+        if enough.any():
+            self.held.append((q[enough], c[enough], sim[enough]))
+            self.rows += int(np.count_nonzero(enough))
+            if self.rows > self.after:
+                self.cut_back()
+                self.after = max(self.after, 2 * self.rows)
+
+    def cut_back(self) -> None:
+        if not self.held:
+            return
+        q, c, sim = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((-sim, q))
+        q, c, sim = q[order], c[order], sim[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        size = np.diff(np.append(first, len(q)))
+        full = size >= self.k
+        # The bounds rise: only what is as good as the k-th best is looked for from here on.
+        self.low[q[first[full]]] = np.maximum(self.low[q[first[full]]], sim[first[full] + self.k - 1])
+        keep = sim >= self.low[q]
+        self.held, self.rows = [(q[keep], c[keep], sim[keep])], int(np.count_nonzero(keep))
+
+
+def _compare_blocks(how: Index, a: _Block, b: _Block) -> Iterator[tuple[np.ndarray, ...]]:
+    """(q, c, sim) of all pairs of the two blocks that reach the bound of q, but for those behind k better ones."""
+    same = a.number == b.number
+    for_a = _Best(a, how.k)
+    for_b = for_a if same else _Best(b, how.k)
+    sims, flags = np.empty(_TILE, np.float32), np.empty(_TILE, bool)
+    for i in range(0, len(a.cls), _TILE[0]):
+        rows = slice(i, i + _TILE[0])
+        for j in range(0, len(b.cls), _TILE[1]):
+            columns = slice(j, j + _TILE[1])
+            # Of one block, what lies under the diagonal is left out.
+            low = min(a.low[rows].min(), b.low[columns].min())
+            if low > 1.5 or (same and j + _TILE[1] <= i):
+                continue
+            x = y = None
+            if low >= how.short_from:
+                x, y = _reached(a.short[rows], b.short[columns], np.float32(low - _ROOM), sims, flags)
+            if x is None or len(x) > sims.size // 50:
+                lows = np.minimum(a.low[rows][:, None], b.low[columns][None, :])
+                x, y = _reached(a.single[rows], b.single[columns], (lows - _ROOM).astype(np.float32), sims, flags)
+            if same:
+                above = x + i < y + j
+                x, y = x[above], y[above]
+            for lo in range(0, len(x), 32_768):
+                p, q = x[lo : lo + 32_768] + i, y[lo : lo + 32_768] + j
+                # Digits beyond these depend on what is multiplied together.
+                exact = np.round(np.einsum("ij,ij->i", a.unit[p], b.unit[q]), 13)
+                for_a.add(p, b.cls[q], exact)
+                for_b.add(q, a.cls[p], exact)
+    for block, best in ((a, for_a),) if same else ((a, for_a), (b, for_b)):
+        best.cut_back()
+        for q, c, sim in best.held:
+            yield block.cls[q], c, sim
+
+
+def _compare(how: Index, axes: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("sim", pa.float64())])
+        kept = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = []
+                for s in "ab":
+                    number = batch.column(f"{s}block")[r].as_py()
+                    if s == "b" and number == sides[0].number:
+                        sides.append(sides[0])
+                    elif s == "a" and kept is not None and kept.number == number:
+                        sides.append(kept)
+                    else:
+                        sides.append(_Block(number, *(batch.column(s + c)[r].as_buffer() for c in ("cls", "low", "vector")), how, axes))
+                kept = sides[0]
+                for q, c, sim in _compare_blocks(how, *sides):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(sim)], schema=schema)
+
+    return run
 
 
 def _count_posts(how: Index, pivots):

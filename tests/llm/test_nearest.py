@@ -115,3 +115,16 @@ def test_pairs_of_long_files():
     files, long = np.array([[3, 1, 2], [0, 1, 0], [0, 0, 0]]), np.array([False, True, True, True])
     rows, low, high, kind = K._pairs_of_long(files, K._first(files), long, 2, 3)
     assert sorted(zip(rows.tolist(), low.tolist(), high.tolist(), kind.tolist())) == [(0, 1, 2, 2), (0, 1, 3, 3), (0, 2, 3, 2), (1, 1, 1, 1), (1, 1, 1, 2)]
+
+
+@pytest.mark.parametrize("least, block_rows", [(-1.0, 16_384), (-1.0, 70), (0.9, 16_384), (0.9, 70)])
+def test_what_the_index_drops_is_found(spark, least, block_rows):
+    """One file, one visit and a shortlist of one: the index gives next to nothing, the result is that of brute force."""
+    x = clustered(700, 64, 6)
+    x[500:] = x[0] + 0.3 * x[500:]  # and a dense group
+    query = [i % 3 == 0 for i in range(len(x))]
+    rows = [(f"v{i:04d}", x[i].tolist(), query[i], "clash", 0) for i in range(len(x))]
+    how = K.Index(k=5, posts=1, visits=1, order=2, shortlist=1, least=least, max_pivots=64, dense=2.0, file_rows=32, block_rows=block_rows)
+    want, s = brute(x, 5)
+    true = {(f"v{i:04d}", r + 1, f"v{j:04d}") for i in range(len(x)) if query[i] for r, j in enumerate(want[i]) if s[i, j] >= least}
+    assert {r[:3] for r in _answers(spark, rows, how)} == true
