@@ -447,7 +447,7 @@ class _Block:
         self.unit = _unit(np.frombuffer(vector, np.float32).reshape(-1, how.dim))
         self.single = self.unit.astype(np.float32)
         # Most variance first; the length of the rest is one more number.
-        head = self.unit @ axes[:, : max(1, 5 * how.dim // 16)]
+        head = self.unit @ axes[:, : max(1, 3 * how.dim // 8)]
         rest = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", head, head)))
         self.short = np.column_stack([head, rest]).astype(np.float32)
 
@@ -460,7 +460,7 @@ def _reached(a: np.ndarray, b: np.ndarray, low: np.ndarray | float, sims: np.nda
     np.matmul(a, b.T, out=sims)
     np.greater_equal(sims, low, out=flags)
     # Few are: eight flags at a time are looked through first.
-    eights = np.flatnonzero(flags.reshape(-1).view(np.uint64))
+    eights = np.flatnonzero(flags.reshape(-1).view(np.uint64) != 0)
     at, bit = np.nonzero(flags.reshape(-1, 8)[eights])
     return np.divmod(eights[at] * 8 + bit, columns)
 
